@@ -100,3 +100,18 @@ def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
 
 def schema_ddl(schema: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (f.split() for f in schema.split(",")))
+
+
+#: Keys of a semi or anti join that are broadcast at most: about 64 MB.
+BROADCAST_KEYS = 2_000_000
+
+
+def semi_join(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` with (or, by ``left_anti``, without) a key.
+
+    ``keys`` should be cut, as it is counted. Up to BROADCAST_KEYS of them are
+    broadcast, so that ``df`` and its texts stay where they are; more are
+    joined by a shuffle.
+    """
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, on, how)

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .decontaminate import contaminated
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .near_dedup import near_dedup
+from .quality import quality_scores
 from .secret_scan import RULES, secret_scan
 from .sharding import shard_rows
+from .topk import top_k
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +34,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return contaminated(docs, read(spark, sf_dir, "benchmark")).drop("_sw_k1", "_sw_k2")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, read(spark, sf_dir, "labels"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_rows(read(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=24)
     return rows.select(
@@ -38,6 +51,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, every=50, scale=256)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = secret_scan(docs, RULES)
@@ -49,7 +70,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_mixing, op7_sharding, op10_secret_scan)}
+    found = (
+        op3_line_dedup,
+        op4_mixing,
+        op5_decontamination,
+        op6_quality_classifier,
+        op7_sharding,
+        op8_near_dedup,
+        op9_top_k,
+        op10_secret_scan,
+    )
+    return {f.__name__: f for f in found}
 
 
 LINE_DEDUP_SQL = r"""
@@ -68,5 +99,20 @@ FROM k LEFT JOIN f USING (key) GROUP BY doc_id
 """
 
 
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL}
+    return {"op3_line_dedup": LINE_DEDUP_SQL, "op9_top_k": TOP_K_SQL}
