@@ -62,8 +62,12 @@ def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray
         row = end
 
 
-def word_hashes(body: np.ndarray, off: np.ndarray, separators: np.ndarray = _blank) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, A-Z lower-cased, and the offsets of each row's words."""
+def word_hashes(body: np.ndarray, off: np.ndarray, separators: np.ndarray = _blank, limits: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, A-Z lower-cased, and the offsets of each row's words.
+
+    With ``limits``, each word gives a hash of its first so many bytes for
+    each limit as well, one after another.
+    """
     n = len(body)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
@@ -77,8 +81,13 @@ def word_hashes(body: np.ndarray, off: np.ndarray, separators: np.ndarray = _bla
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_table[_lower[body]] * powers(_ROOT, n), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(_INVERSE, n)[starts]
-    return mix(h), np.searchsorted(starts, off)
+    shift = powers(_INVERSE, n)[starts]
+    h = mix((total[ends] - total[starts]) * shift)
+    at = np.searchsorted(starts, off)
+    if limits:
+        cut = [mix((total[np.minimum(ends, starts + b)] - total[starts]) * shift + _U(b)) for b in limits]
+        h, at = np.stack([h, *cut], 1).ravel(), at * (1 + len(limits))
+    return h, at
 
 
 def shingles(words: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

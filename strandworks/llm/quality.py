@@ -18,6 +18,8 @@ WORD_BITS, GRAM_BITS, SHAPES = 18, 15, 8
 WORDS, GRAMS = 1 << WORD_BITS, 1 << GRAM_BITS
 #: Labelled documents that the model is fitted on at most, and the documents a word must occur in to get a weight.
 SAMPLE, MIN_DOCS = 3000, 10
+#: Bytes of a word's beginnings that are features beside the word.
+PREFIXES = (4, 6)
 #: Log odds from which a word gets a weight.
 LEAST_ODDS = 1.0
 
@@ -49,7 +51,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, Parts]]:
         h, at = word_hashes(body, off)
         n = np.diff(at)
         row_of = np.repeat(np.arange(len(n)), n)
-        runs, runs_at = word_hashes(body, off, not_alnum)
+        runs, runs_at = word_hashes(body, off, not_alnum, PREFIXES)
         runs_row = np.repeat(np.arange(len(n)), np.diff(runs_at))
         distinct, word_off = sorted_sets(runs & np.uint64(WORDS - 1), runs_row, len(n))
         code = np.zeros(len(body), np.uint64)
@@ -84,10 +86,10 @@ def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _log_odds(cells: np.ndarray, good: np.ndarray, size: int) -> np.ndarray:
-    """How much more likely a word is in documents of the best grade than in others; 0 if rare or uninformative."""
+    """How much more likely a word is in documents of the best grade than in others; 0 if rare or not telling against."""
     yes, no = np.bincount(cells[good], minlength=size) + 0.5, np.bincount(cells[~good], minlength=size) + 0.5
     out = np.log(yes / yes.sum()) - np.log(no / no.sum())
-    out[(yes + no < MIN_DOCS + 1) | (np.abs(out) < LEAST_ODDS)] = 0
+    out[(yes + no < MIN_DOCS + 1) | (out > -LEAST_ODDS)] = 0
     return out
 
 
@@ -115,11 +117,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(texts: pa.Array, grades: np.ndarray, rounds: int = 100, l2: float = 1e-3) -> Model:
+def fit(texts: pa.Array, grades: np.ndarray, rounds: int = 150, l2: float = 1e-4, l2_grams: float = 3e-2) -> Model:
     """Maximum likelihood by Adam over the whole sample.
 
     Words are scaled by their log odds, so that the penalty spares telling
-    ones; rare or uninformative ones get no weight.
+    ones. Only words that tell against a document get a weight: what is good
+    grows with the length of a text and would hide a few bad words.
     """
     n, top = len(texts), max(int(grades.max(initial=0)), 1)
     wi, wr, gi, gr, gv, shapes = [], [], [], [], [], []
@@ -138,6 +141,7 @@ def fit(texts: pa.Array, grades: np.ndarray, rounds: int = 100, l2: float = 1e-3
     ratio = _log_odds(wi, grades[wr] == top, WORDS)
     keep = ratio[wi] != 0
     wi, wr = wi[keep], wr[keep]
+    ratio = ratio * 2
     wv = ratio[wi]
     centre, spread = shapes.mean(0), shapes.std(0) + 1e-6
     z = (shapes - centre) / spread
@@ -160,8 +164,8 @@ def fit(texts: pa.Array, grades: np.ndarray, rounds: int = 100, l2: float = 1e-3
         np.add.at(d_th, grades[grades < top], -down[grades < top] / n)
         grads = [
             np.bincount(wi, d_score[wr] * wv, WORDS) + l2 * w,
-            np.bincount(gi, d_score[gr] * gv, GRAMS) + l2 * g,
-            z.T @ d_score + l2 * s,
+            np.bincount(gi, d_score[gr] * gv, GRAMS) + l2_grams * g,
+            z.T @ d_score + l2_grams * s,
             d_th,
         ]
         for i, d in enumerate(grads):
