@@ -197,8 +197,7 @@ def quality_scores(
     doc_id: str = "doc_id",
     sample: int = SAMPLE,
     least: float = 0.5,
-    keep_columns: list[str] | None = None,
-    training: DataFrame | None = None,
+    filter_rows: bool = False,
 ) -> DataFrame:
     """Scores every document with an ordinal model fitted on a bounded labelled sample.
 
@@ -206,34 +205,44 @@ def quality_scores(
     vector; ordered thresholds turn its score into P(grade > k). ``kept`` is
     P(grade = best) >= ``least``: documents that are junk or toxic go.
 
-    Returns ``keep_columns`` (by default the id as ``doc_id``) plus
-    ``expected_grade``, ``p_middle`` (grade 1 or more), ``p_best`` (grade 2)
-    and ``kept``. Defined cases: null and empty texts are scored as empty; no
-    labels at all keep everything; repeated labels of a document count once
-    with the lowest grade; repeated rows are scored alike; clashing result
-    names are replaced; an empty table gives an empty result.
+    Returns ``doc_id, expected_grade, p_middle`` (grade 1 or more), ``p_best``
+    (grade 2) and ``kept``, one row per input row; with ``filter_rows`` the
+    input columns of the kept rows instead. Defined cases: null and empty
+    texts are scored as empty; no labels at all, or labels of one grade, keep
+    everything; repeated labels of a document count once with the lowest
+    grade; repeated rows are scored alike; an empty table gives an empty
+    result; other columns, whatever their names, are left out or, with
+    ``filter_rows``, returned as they are.
 
     The sample (at most ``sample`` labelled documents, read whole) is fitted on
-    the driver; scoring is one pass without a shuffle. ``training`` names the
-    documents the labels refer to where ``docs`` is only part of them.
+    the driver; scoring is one pass without a shuffle.
     """
-    texts, grades = labelled_sample(training if training is not None else docs, labels, text, doc_id, sample)
-    held = docs.sparkSession.sparkContext.broadcast(fit(texts, grades) if len(grades) and grades.min() < grades.max() else None)
-    result = ["expected_grade", "p_middle", "p_best", "kept"]
-    names = [c for c in (keep_columns or [doc_id]) if c not in result]
-    rows = docs.select(*[F.col(c).alias(c if keep_columns else "doc_id") for c in names], text_of(text).alias("_sw_text"))
-    names = rows.columns[:-1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+    texts, grades = labelled_sample(docs, labels, text, doc_id, sample)
+    model = fit(texts, grades) if len(grades) and grades.min() < grades.max() else None
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def tails(column: pa.Array) -> np.ndarray:
+        out = np.ones((len(column), 2))
+        if held.value is not None:
+            for row, p in features(column.cast(pa.string())):
+                got = held.value.tails(p)
+                out[row : row + len(got), 0], out[row : row + len(got), 1] = got[:, 0], got[:, -1]
+        return out
+
+    place = docs.columns.index(text)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(tails(batch.column(place))[:, 1] >= least))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tails = np.ones((batch.num_rows, 2))
-            if model is not None:
-                for row, p in features(batch.column(batch.num_columns - 1)):
-                    got = model.tails(p)
-                    tails[row : row + len(got), 0], tails[row : row + len(got), 1] = got[:, 0], got[:, -1]
-            extra = [pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails[:, 1] >= least)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], [*names, *result])
-
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]], "expected_grade double, p_middle double, p_best double, kept boolean"])
-    return rows.mapInArrow(run, schema)
+            t = tails(batch.column(1))
+            columns = [batch.column(0), pa.array(t.sum(1)), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(t[:, 1] >= least)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "p_middle", "p_best", "kept"])
+
+    if filter_rows:
+        return docs.mapInArrow(kept, docs.schema)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_sw_text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(scored, f"doc_id {kind}, expected_grade double, p_middle double, p_best double, kept boolean")
