@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
+from .html_extract import extract_text
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .quality import quality_scores
 from .secret_scan import RULES, secret_scan
 from .sharding import shard_rows
+from .substring_dedup import substring_dedup
 from .topk import top_k
 
 
@@ -21,6 +23,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs, length=400).drop("kept", "spans")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, min_docs=10, min_chars=1).select(
@@ -71,6 +82,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_html_extraction,
+        op2_substring_dedup,
         op3_line_dedup,
         op4_mixing,
         op5_decontamination,
