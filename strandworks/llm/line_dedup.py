@@ -42,9 +42,10 @@ def line_dedup(
         h1, h2 = hash128(key)
         return F.when(F.char_length(key) >= min_chars, F.struct(h1.alias("h1"), h2.alias("h2")))
 
+    # the outer forms keep the optimiser from filtering on, and so hashing, the lines once more
     keys = base.select("_sw_k1", "_sw_k2", F.transform(lines, hashed).alias("_sw_h"))
     frequent = (
-        keys.select(F.explode(F.array_distinct("_sw_h")).alias("h"))
+        keys.select(F.explode_outer(F.array_distinct("_sw_h")).alias("h"))
         .where("h is not null")
         .groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
         .agg(F.count("*").alias("n"))
@@ -52,7 +53,7 @@ def line_dedup(
         .select("h1", "h2")
     )
     places = (
-        keys.select("_sw_k1", "_sw_k2", F.posexplode("_sw_h").alias("pos", "h"))
+        keys.select("_sw_k1", "_sw_k2", F.posexplode_outer("_sw_h").alias("pos", "h"))
         .where("h is not null")
         .select("_sw_k1", "_sw_k2", "pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
     )
