@@ -90,7 +90,7 @@ def postings(docs: DataFrame, trigrams: list[str], text: str) -> DataFrame:
     """The inverted index ``(trigram, _sw_k1, _sw_k2)`` over the trigrams that occur in any query."""
     low = F.lower(text_of(text))
     found = F.array_compact(F.array(*[F.when(F.contains(F.col("_sw_low"), F.lit(t)), F.lit(t)) for t in trigrams]))
-    return docs.withColumn("_sw_low", low).select(F.explode(found).alias("trigram"), "_sw_k1", "_sw_k2")
+    return docs.withColumn("_sw_low", low).select(F.explode_outer(found).alias("trigram"), "_sw_k1", "_sw_k2").where("trigram is not null")
 
 
 def candidates(index: DataFrame, queries: dict[str, list[set[str]]]) -> DataFrame:
