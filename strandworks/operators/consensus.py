@@ -65,12 +65,16 @@ def _first_max():
 
 
 def quality_consensus(msa: DataFrame, min_coverage: float = 0.6, kind: str = "phred") -> DataFrame:
-    """Most probable base of every covered column, weighing each base by its error."""
+    """Most probable base of every covered column, weighing each base by its error.
+
+    Sums are compared to nine decimals, as the order of a distributed sum is not fixed.
+    """
     c = columns_of(msa, True, kind)
     right, wrong = F.log1p(-F.col("e")), F.log(F.col("e") / 3)
     sums = {b: F.sum(F.when(F.col("base").isin(*BASES), F.when(F.col("base") == b, right).otherwise(wrong)).otherwise(0.0)) for b in BASES}
     g = c.groupBy("group_id", "pos").agg(F.first("n_rows").alias("n"), F.count_if(F.col("base") != "-").alias("seen"), *[x.alias(b) for b, x in sums.items()])
-    g = g.where(F.col("seen") >= F.col("n") * min_coverage).withColumn("_top", F.greatest(*BASES))
+    g = g.where(F.col("seen") >= F.col("n") * min_coverage).withColumns({b: F.round(b, 9) for b in BASES})
+    g = g.withColumn("_top", F.greatest(*BASES))
     g = g.withColumn("_sorted", F.sort_array(F.array(*BASES)))
     # probabilities relative to the largest; the best one is left out of the error
     rel = F.transform("_sorted", lambda x: F.exp(x - F.col("_top")))

@@ -23,13 +23,13 @@ def masked_distance(a: str, b: str) -> float:
     return last[-1] / 2
 
 
-@F.pandas_udf("double")
-def _masked(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([masked_distance(x, y) for x, y in zip(a, b, strict=True)])
-
-
 def distance(a: Column, b: Column) -> Column:
     """Built-in where neither side has an N."""
+
+    @F.pandas_udf("double")
+    def _masked(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([masked_distance(p, q) for p, q in zip(x, y, strict=True)])
+
     return F.when(~a.contains("N") & ~b.contains("N"), F.levenshtein(a, b).cast("double")).otherwise(_masked(a, b))
 
 
