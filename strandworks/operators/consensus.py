@@ -17,8 +17,10 @@ def columns_of(msa: DataFrame, with_quality: bool, kind: str = "phred") -> DataF
     widths = F.array_distinct(F.transform("aln", F.char_length))
     bad = F.size(widths) > 1
     aln = F.when(bad, F.raise_error(F.lit("alignment rows of unequal width"))).otherwise(F.col("aln"))
-    df = msa.withColumn("aln", aln).select("group_id", F.size("aln").alias("n_rows"), F.posexplode("aln").alias("row", "s"), *["quals"] * with_quality)
-    df = df.select("group_id", "n_rows", "row", F.posexplode(S.bases(F.col("s"))).alias("pos", "base"), *([F.get("quals", "row").alias("q"), "s"] if with_quality else []))
+    df = msa.withColumn("aln", aln).select("group_id", F.size("aln").alias("n_rows"), F.posexplode_outer("aln").alias("row", "s"), *["quals"] * with_quality)
+    df = df.where("s is not null")
+    df = df.select("group_id", "n_rows", "row", F.posexplode_outer(S.bases(F.col("s"))).alias("pos", "base"), *([F.get("quals", "row").alias("q"), "s"] if with_quality else []))
+    df = df.where("base is not null")
     if not with_quality:
         known = F.col("base").isin(*BASES, "N", "-")
         return df.withColumn("base", F.when(known, F.col("base")).otherwise(F.raise_error(F.concat(F.lit("unknown character in alignment: "), "base"))))
