@@ -48,7 +48,7 @@ def test_adaptor_align(spark):
     assert x.adaptor1.subseq.Sub1.seq == "CGT"
     kept = A.filter_reads(A.adaptor_align(reads, p), 1, 1)
     real = A.realize_reads(kept, reads).collect()
-    assert {r.seq for r in real} == {"CGTACGTACGT"[0:0] + seq[7:18]}
+    assert {r.seq for r in real} == {seq[7:18]}
     parts = A.extract_subseq(A.adaptor_align(reads, p), reads, p, [(3, 5)], []).collect()
     assert {tuple(r.subseq1) for r in parts} == {("CGT",)}
     assert A.adaptor_align(reads.limit(0), p).count() == 0
