@@ -244,7 +244,8 @@ def substring_dedup(docs: DataFrame, length: int = 400, text: str = "text", doc_
         raise ValueError(f"length must be from {2 * GRAM + CELL} to {1 << 16}")
     base = with_row_key(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), *KEY, F.col(text).cast("string").alias("_sw_text"))
     run, schema = first_digit(length)
-    runs = cut(base.select(*KEY, "_sw_text").mapInArrow(run, schema))
+    # read twice, as writing the runs down would cost more disk than working them out again costs time
+    runs = base.select(*KEY, "_sw_text").mapInArrow(run, schema)
     done, onward = split_groups(runs)
     spans = [done.select(*KEY, "lo", "hi")]
     onward = cut(onward.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi", "at", "outer")).alias("runs")))
