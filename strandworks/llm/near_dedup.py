@@ -18,8 +18,10 @@ SYMBOLS, SYMBOL_BYTES, RADIUS = 64, 2, 27
 #: Each chunk may hold this many errors; by the pigeonhole principle some chunk of a pair within RADIUS does not hold more.
 CHUNK_ERRORS = 1
 CHUNKS = RADIUS // (CHUNK_ERRORS + 1) + 1
-#: Pairs of an unresolved bucket that are written out at most, per row left; above it another pivot round runs.
-PAIRS_PER_ROW = 4
+#: Pairs of the unsettled buckets that are compared directly, per row of all buckets; above it another pivot round runs first.
+PAIRS_PER_ROW = 8
+#: Pivot rounds at most; what they leave unsettled is compared directly, however much it is.
+PIVOT_ROUNDS = 2
 
 _rng = np.random.default_rng(20)
 _xor = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -42,12 +44,15 @@ def signatures(size: int):
                     f1[some] = np.add.reduceat(mix(h), starts)
                     f2[some] = np.add.reduceat(mix(h ^ _xor[0]), starts)
                 symbols = np.ascontiguousarray(mix(sig).astype(np.uint16))
+                lanes = pa.ListArray.from_arrays(
+                    pa.array(np.arange(rows + 1) * (SYMBOLS // 4), pa.int32()), pa.array(symbols.view(np.int64).ravel())
+                )
                 packed = pa.FixedSizeBinaryArray.from_buffers(
                     pa.binary(SYMBOLS * SYMBOL_BYTES), rows, [None, pa.py_buffer(symbols.tobytes())]
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, rows), pa.array(np.diff(off), pa.int64()), *[pa.array(f.view(np.int64)) for f in (f1, f2)], packed.cast(pa.binary())],
-                    ["_sw_id", "_sw_n", "_sw_f1", "_sw_f2", "_sw_sig"],
+                    [ids.slice(row, rows), pa.array(np.diff(off), pa.int64()), *[pa.array(f.view(np.int64)) for f in (f1, f2)], packed.cast(pa.binary()), lanes],
+                    ["_sw_id", "_sw_n", "_sw_f1", "_sw_f2", "_sw_sig", "_sw_lanes"],
                 )
 
     return run
@@ -89,6 +94,15 @@ def chunk_keys(sig: Column) -> Column:
     return F.array(*keys)
 
 
+def signature_distance(a: Column, b: Column) -> Column:
+    """Symbols that differ between two signatures, given as longs of four symbols."""
+    xor = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+    for shift in (8, 4, 2, 1):  # the lowest bit of a symbol becomes the OR of its sixteen
+        xor = F.transform(xor, lambda x: x.bitwiseOR(F.shiftrightunsigned(x, shift)))  # noqa: B023
+    lowest = F.lit(0x0001000100010001)
+    return F.aggregate(xor, F.lit(0), lambda n, x: n + F.bit_count(x.bitwiseAND(lowest)))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets have 100 * intersection >= percent * union."""
     left = sets.select(F.col("_sw_id").alias("a"), F.col("_sw_set").alias("_sw_x"))
@@ -111,35 +125,34 @@ def components(edges: DataFrame) -> DataFrame:
     round is an aggregation and equi-joins over the edges that are left.
     """
     live = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    labels = None
-    while not live.isEmpty():
+    labels = live.select(F.col("a").alias("_sw_id"), F.col("b").alias("_sw_comp")).where("false")
+    first = True
+    while live.count():
         ends = live.select("a", "b").union(live.select("b", "a"))
-        parent = ends.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("p"))
-        parent = cut(parent)
-        up = parent.select(F.col("n").alias("p"), F.col("p").alias("q"))
-        parent = cut(parent.join(up, "p", "left").select("n", F.coalesce("q", "p").alias("p")))
-        if labels is None:
-            labels = parent.select(F.col("n").alias("_sw_id"), F.col("p").alias("_sw_comp"))
+        link = ends.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
+        up = link.select(F.col("a").alias("p"), F.col("p").alias("q"))
+        parent = cut(link.join(up.hint("merge"), "p").select(F.col("a").alias("n"), F.col("q").alias("p")))
+        if first:
+            labels = parent.toDF("_sw_id", "_sw_comp")
         else:
-            step = parent.select(F.col("n").alias("_sw_comp"), "p")
+            step = parent.toDF("_sw_comp", "p").hint("merge")
             labels = labels.join(step, "_sw_comp", "left").select("_sw_id", F.coalesce("p", "_sw_comp").alias("_sw_comp"))
-        labels = cut(labels)
-        up_a, up_b = parent.toDF("a", "pa"), parent.toDF("b", "pb")
+        first = False
+        up_a, up_b = parent.toDF("a", "pa").hint("merge"), parent.toDF("b", "pb").hint("merge")
         live = live.join(up_a, "a").join(up_b, "b").where("pa <> pb")
         live = cut(live.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct())
-    if labels is None:
-        labels = edges.select(F.col("a").alias("_sw_id"), F.col("b").alias("_sw_comp")).where("false")
     return labels
 
 
 def near_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``(_sw_id, _sw_comp)`` for class representatives ``(_sw_id, _sw_n, _sw_sig)`` that have a link.
+    """``(_sw_id, _sw_comp)`` for class representatives ``(_sw_id, _sw_n, _sw_sig, _sw_lanes)`` that have a link.
 
     A bucket is the set of representatives that share a chunk key. Each round
     compares every bucket's members with one or two pivots only, and merges
     what is confirmed. A pair is settled when one of the two was a pivot of
     the bucket or both are in one component; only buckets with unsettled pairs
-    go on. When few pairs are left they are compared directly. So every
+    go on. When few pairs are left, those within the
+    signature distance are compared directly. So every
     pair in a bucket is settled, and a bucket of m copies costs about m
     comparisons and not m * m.
     """
@@ -148,10 +161,11 @@ def near_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) ->
     live = cut(keyed.join(buckets, "_sw_key"))
     involved = cut(live.select("_sw_id").distinct())
     sets = cut(semi_join(texts, involved, ["_sw_id"]).mapInArrow(full_sets(size), "_sw_id long, _sw_set array<long>"))
+    budget = PAIRS_PER_ROW * live.count()
     live = live.withColumn("_sw_comp", F.col("_sw_id"))
     near_size = F.least("_sw_n", "_sw_m") * 100 >= F.greatest("_sw_n", "_sw_m") * percent
     edges = labels = None
-    done = False
+    done, rounds = False, 0
     while not done:
         keys = live.groupBy("_sw_key").agg(
             F.min(F.struct("_sw_comp", "_sw_id", "_sw_n")).alias("lo"),
@@ -163,11 +177,14 @@ def near_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) ->
         left = keys.agg(F.sum("rows").alias("rows"), F.sum(F.expr("rows * (rows - 1) / 2")).alias("pairs")).first()
         if not left["rows"]:
             break
-        done = left["pairs"] <= PAIRS_PER_ROW * left["rows"]
+        done = left["pairs"] <= budget or rounds == PIVOT_ROUNDS
+        rounds += 1
         if done:
-            rows = live.join(keys.select("_sw_key"), "_sw_key")
-            other = rows.select("_sw_key", F.col("_sw_id").alias("b"), F.col("_sw_n").alias("_sw_m"), F.col("_sw_comp").alias("_sw_c2"))
-            pairs = rows.withColumnRenamed("_sw_id", "a").join(other, "_sw_key").where((F.col("_sw_comp") < F.col("_sw_c2")) & near_size)
+            rows = live.join(keys.select("_sw_key"), "_sw_key").join(classes.select("_sw_id", "_sw_lanes"), "_sw_id")
+            other = rows.select("_sw_key", F.col("_sw_id").alias("b"), F.col("_sw_n").alias("_sw_m"), F.col("_sw_comp").alias("_sw_c2"), F.col("_sw_lanes").alias("_sw_l2"))
+            pairs = rows.withColumnRenamed("_sw_id", "a").join(other, "_sw_key")
+            within = signature_distance(F.col("_sw_lanes"), F.col("_sw_l2")) <= RADIUS
+            pairs = pairs.where((F.col("_sw_comp") < F.col("_sw_c2")) & near_size & within)
         else:
             first = edges is None
             pivots = keys.select("_sw_key", F.explode(F.array("lo") if first else F.array("lo", "hi")).alias("p"))
@@ -175,12 +192,13 @@ def near_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) ->
             pairs = live.withColumnRenamed("_sw_id", "a").join(pivots, "_sw_key").where((F.col("_sw_comp") != F.col("_sw_c2")) & near_size)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = cut(verified(pairs, sets, percent))
-        edges = found if edges is None else cut(edges.union(found))
-        labels = components(edges)
+        if labels is None or found.count():
+            edges = found if edges is None else edges.union(found)
+            labels = cut(components(edges))
         if not done:
             spent = pivots.select("_sw_key", F.col("b").alias("_sw_id"))
             live = live.drop("_sw_comp").join(keys.select("_sw_key"), "_sw_key").join(spent, ["_sw_key", "_sw_id"], "left_anti")
-            live = live.join(labels, "_sw_id", "left").withColumn("_sw_comp", F.coalesce("_sw_comp", "_sw_id"))
+            live = live.join(labels.hint("merge"), "_sw_id", "left").withColumn("_sw_comp", F.coalesce("_sw_comp", "_sw_id"))
             live = cut(live.select("_sw_key", "_sw_id", "_sw_n", "_sw_comp"))
     if labels is None:
         labels = live.select("_sw_id", "_sw_comp").where("false")
@@ -203,14 +221,14 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     table gives an empty result; other columns are left out.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("_sw_id"), F.col(text).cast("string").alias("_sw_text"))
-    sigs = cut(texts.mapInArrow(signatures(shingle), "_sw_id long, _sw_n long, _sw_f1 long, _sw_f2 long, _sw_sig binary"))
+    sigs = cut(texts.mapInArrow(signatures(shingle), "_sw_id long, _sw_n long, _sw_f1 long, _sw_f2 long, _sw_sig binary, _sw_lanes array<long>"))
     some = sigs.where("_sw_n > 0 and _sw_id is not null")
-    classes = some.groupBy("_sw_f1", "_sw_f2", "_sw_n").agg(F.min("_sw_id").alias("_sw_rep"), F.min("_sw_sig").alias("_sw_sig"))
+    classes = some.groupBy("_sw_f1", "_sw_f2", "_sw_n").agg(F.min("_sw_id").alias("_sw_rep"), F.min("_sw_sig").alias("_sw_sig"), F.min("_sw_lanes").alias("_sw_lanes"))
     classes = cut(classes)
-    labels = near_links(classes.select(F.col("_sw_rep").alias("_sw_id"), "_sw_n", "_sw_sig"), texts, shingle, percent)
-    named = classes.drop("_sw_sig").join(labels, classes["_sw_rep"] == labels["_sw_id"], "left")
+    labels = near_links(classes.select(F.col("_sw_rep").alias("_sw_id"), "_sw_n", "_sw_sig", "_sw_lanes"), texts, shingle, percent)
+    named = classes.drop("_sw_sig", "_sw_lanes").join(labels, classes["_sw_rep"] == labels["_sw_id"], "left")
     named = named.select("_sw_f1", "_sw_f2", "_sw_n", F.coalesce("_sw_comp", "_sw_rep").alias("component_id"))
-    out = sigs.drop("_sw_sig").join(named, ["_sw_f1", "_sw_f2", "_sw_n"], "left")
+    out = sigs.drop("_sw_sig", "_sw_lanes").join(named, ["_sw_f1", "_sw_f2", "_sw_n"], "left")
     component = F.when(F.col("_sw_n") > 0, F.when(F.col("_sw_id").isNotNull(), F.col("component_id"))).otherwise(F.col("_sw_id"))
     out = out.select(F.col("_sw_id").alias("doc_id"), F.col("_sw_n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
