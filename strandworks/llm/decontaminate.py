@@ -53,6 +53,25 @@ def bag(hashes: Column) -> Column:
     return F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, F.lit(1), i), lambda x: x == h))))
 
 
+def shared_needed(both: Column, percent: int) -> Column:
+    """The least intersection of two bags of ``both`` shingles together whose weighted Jaccard reaches ``percent`` / 100."""
+    return F.ceil(both * percent / F.lit(100 + percent) - F.lit(1e-9)).cast("int")
+
+
+def window_starts(at: Column, need: Column, width: Column, n: Column) -> Column:
+    """Starts of the windows of ``width`` of ``n`` places that hold ``need`` of the ascending places ``at``; each once.
+
+    The windows that hold places i to i + need - 1 but not place i - 1 start in one range.
+    """
+
+    def starts(i: Column) -> Column:
+        first = F.greatest(F.lit(0), F.get(at, i + need - 1) - width + 1, F.coalesce(F.get(at, i - 1) + 1, F.lit(0)))
+        last = F.least(F.get(at, i), n - width)
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - need), starts))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -65,9 +84,10 @@ def contaminated(
 ) -> DataFrame:
     """Passages of documents that repeat benchmark items.
 
-    1. A window can be similar to an item only if they share a shingle of
-       ``size`` words, so each place where a document has a shingle of an item
-       proposes the window, as long as the item, that aligns the two.
+    1. A window can be similar to an item only if enough of its shingles of
+       ``size`` words are the item's. Documents and items meet by shingle, and
+       of the windows as long as the item all are proposed, at any start, that
+       hold as many places with a shingle of the item as ``percent`` asks for.
     2. Windows and items get a 64-bit SimHash. The fingerprints are cut into
        RADIUS + 1 blocks; an item and a window proposed for it meet if a block
        is equal, which holds for all pairs within the radius.
@@ -85,35 +105,35 @@ def contaminated(
     window; empty tables give an empty result; other columns are left out.
 
     The items' shingles are broadcast up to a checked number and joined by a
-    shuffle above it. Windows, at most as many as shared shingles, are all
-    that is shuffled of the documents otherwise.
+    shuffle above it, and so are the items. Only shared shingles, the starts
+    of proposed windows and documents that have some are shuffled otherwise.
     """
     base = with_row_key(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), "_sw_k1", "_sw_k2", F.col(text).alias("_sw_text"))
     items = with_shingles(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_sw_text")), size, "_sw_ih")
     items = cut(items.distinct()).where(F.size("_sw_ih") > 0)
     items = cut(items.withColumn("_sw_fp", simhash(F.col("_sw_ih"))).withColumn("_sw_item", F.xxhash64("item_id", "_sw_ih")))
-    grams = items.select("_sw_item", F.size("_sw_ih").alias("_sw_l"), F.posexplode("_sw_ih").alias("_sw_at", "_sw_g"))
-    few = grams.limit(GRAMS + 1).count() <= GRAMS
+    items = items.withColumn("_sw_fb", block_keys(F.col("_sw_fp")))
+    grams = items.select("_sw_item", F.size("_sw_ih").alias("_sw_l"), F.explode(F.array_distinct("_sw_ih")).alias("_sw_g"))
+    few = (items.agg(F.sum(F.size("_sw_ih"))).first()[0] or 0) <= GRAMS
     places = with_shingles(base, size, "_sw_h").select(
         "_sw_k1", "_sw_k2", F.size("_sw_h").alias("_sw_n"), F.posexplode_outer("_sw_h").alias("_sw_pos", "_sw_g")
     )
     hits = places.join(F.broadcast(grams) if few else grams, "_sw_g")
-    start = F.greatest(F.lit(0), F.least(F.col("_sw_pos") - F.col("_sw_at"), F.col("_sw_n") - F.col("_sw_l")))
-    hits = cut(hits.select("_sw_k1", "_sw_k2", "_sw_item", "_sw_l", start.alias("_sw_start")).distinct())
+    hits = hits.groupBy("_sw_k1", "_sw_k2", "_sw_item", "_sw_l", "_sw_n").agg(F.sort_array(F.collect_set("_sw_pos")).alias("_sw_at"))
+    hits = hits.withColumn("_sw_w", F.least("_sw_n", "_sw_l")).withColumn("_sw_need", shared_needed(F.col("_sw_w") + F.col("_sw_l"), percent))
+    hits = cut(hits.where(F.size("_sw_at") >= F.col("_sw_need")))
+    hits = hits.withColumn("_sw_start", F.explode(window_starts(F.col("_sw_at"), F.col("_sw_need"), F.col("_sw_w"), F.col("_sw_n"))))
     touched = cut(hits.select("_sw_k1", "_sw_k2").distinct())
     bodies = semi_join(base, touched, ["_sw_k1", "_sw_k2"]).dropDuplicates(["_sw_k1", "_sw_k2"])
     bodies = with_shingles(bodies, size, "_sw_h")
-    windows = hits.join(bodies, ["_sw_k1", "_sw_k2"])
+    windows = hits.select("_sw_k1", "_sw_k2", "_sw_item", "_sw_w", "_sw_start").join(bodies, ["_sw_k1", "_sw_k2"])
     windows = windows.select(
-        "doc_id", "_sw_k1", "_sw_k2", "_sw_item", "_sw_start", F.slice("_sw_h", F.col("_sw_start") + 1, F.col("_sw_l")).alias("_sw_wh")
+        "doc_id", "_sw_k1", "_sw_k2", "_sw_item", "_sw_start", F.slice("_sw_h", F.col("_sw_start") + 1, F.col("_sw_w")).alias("_sw_wh")
     )
     windows = windows.withColumn("_sw_wfp", simhash(F.col("_sw_wh")))
-    left = windows.select("*", F.explode(block_keys(F.col("_sw_wfp"))).alias("_sw_b"))
-    right = items.select("item_id", "_sw_item", "_sw_ih", "_sw_fp", F.explode(block_keys(F.col("_sw_fp"))).alias("_sw_b2"))
     near = F.bit_count(F.col("_sw_wfp").bitwiseXOR(F.col("_sw_fp")))
-    met = left.join(right, (left["_sw_item"] == right["_sw_item"]) & (F.col("_sw_b") == F.col("_sw_b2"))).drop(right["_sw_item"])
-    met = met.withColumn("hamming", near).where(F.col("hamming") <= RADIUS)
-    met = met.dropDuplicates(["_sw_k1", "_sw_k2", "_sw_item", "_sw_start", "item_id"])
+    block = F.arrays_overlap(block_keys(F.col("_sw_wfp")), F.col("_sw_fb"))
+    met = windows.join(F.broadcast(items) if few else items, "_sw_item").where(block & (near <= RADIUS)).withColumn("hamming", near)
     met = met.withColumns({"_sw_x": bag(F.col("_sw_wh")), "_sw_y": bag(F.col("_sw_ih"))})
     met = met.withColumn("_sw_i", F.size(F.array_intersect("_sw_x", "_sw_y")))
     met = met.withColumn("_sw_u", F.size("_sw_x") + F.size("_sw_y") - F.col("_sw_i")).where(F.col("_sw_i") * 100 >= F.col("_sw_u") * percent)

@@ -142,6 +142,22 @@ def test_contamination(spark, docs, rows):
     assert contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_contamination_in_another_order(spark):
+    """Windows that no shared shingle aligns with the item: parts swapped, in longer documents."""
+    item = [f"w{k}" for k in range(50)]
+    texts = []
+    for at in (17, 25, 33):
+        texts.append([f"x{k}" for k in range(90)] + item[at:] + item[:at] + [f"y{k}" for k in range(90)])
+    texts.append(texts[1][:115] + ["other"] + texts[1][115:])
+    texts.append(item[30:] + item[15:30] + item[:15])
+    texts.append(item[40:] + item[30:40] + item[20:30] + item[10:20] + item[:10])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.start_word, r.n_words, r.similarity) for r in contaminated(docs, bench).collect()}
+    assert got == {i: (90, 50, 42 / 50) for i in range(3)} | {3: (90, 50, 41 / 51)}
+    assert [r.doc_id for r in decontaminate(docs, bench).orderBy("doc_id").collect()] == [4, 5]
+
+
 def test_near_dedup(spark, docs, rows):
     for size in (2, 5):
         sets = {}
