@@ -334,7 +334,7 @@ def o56_barcode_thresholds(spark, sf_dir):
 
 @query()
 def o57_tune_alignment(spark, sf_dir):
-    return A.tune_alignment(D.tagged_reads(spark, sf_dir), PARAMS, range(4, 6), range(1, 3), 200)
+    return A.tune_alignment(D.tagged_reads(spark, sf_dir), PARAMS)
 
 
 OVERLAP_SQL = f"""WITH {D.SCORED_SQL}, c AS (SELECT part, score, count(*) FILTER (WHERE NOT fake) AS r, count(*) FILTER (WHERE fake) AS f FROM scored GROUP BY ALL)

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from strandworks import queries
 from strandworks.functions import sequences as S
 from strandworks.operators import alignment as A
 from strandworks.operators import consensus as C
@@ -74,6 +75,16 @@ def test_statistics(spark):
     assert got.go is None and got.ge is None
 
 
+def test_tuning_query_is_whole(spark, monkeypatch):
+    """The registered query has the operator's grid and sample."""
+    seen, tune_scores = [], A.tune_scores
+    monkeypatch.setattr(queries.A, "tune_scores", lambda reads, p, go, ge, seed: seen.append((reads.count(), list(go), list(ge))) or tune_scores(reads.limit(5), p, go[:1], ge[:1], seed))
+    reads = spark.range(10_050).selectExpr("id AS read_idx", "concat('read', id) AS read_name", "repeat('ACGT', 25) AS seq", "repeat('I', 100) AS qual")
+    monkeypatch.setattr(queries.D, "tagged_reads", lambda *_: reads)
+    queries.QUERIES["o57_tune_alignment"](spark, "")
+    assert seen == [(10_000, list(range(4, 11)), list(range(1, 6)))]
+
+
 def test_consensus(spark):
     rows = [(1, ["AA-C", "AAGC", "ANGC", "TAG-"]), (2, ["ACGT"]), (3, [])]
     got = {r.group_id: r for r in C.basic_consensus(spark.createDataFrame(rows, "group_id long, aln array<string>")).collect()}
