@@ -226,6 +226,12 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     classes = some.groupBy("_sw_f1", "_sw_f2", "_sw_n").agg(F.min("_sw_id").alias("_sw_rep"), F.min("_sw_sig").alias("_sw_sig"), F.min("_sw_lanes").alias("_sw_lanes"))
     classes = cut(classes)
     labels = near_links(classes.select(F.col("_sw_rep").alias("_sw_id"), "_sw_n", "_sw_sig", "_sw_lanes"), texts, shingle, percent)
+    key = F.struct("_sw_f1", "_sw_f2", "_sw_n")
+    several = some.groupBy("_sw_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi")
+    several = cut(several.select("_sw_id"))
+    if several.count():
+        of = semi_join(some.select("_sw_id", "_sw_f1", "_sw_f2", "_sw_n"), several, ["_sw_id"]).join(classes, ["_sw_f1", "_sw_f2", "_sw_n"])
+        labels = cut(components(labels.toDF("a", "b").union(of.select("_sw_id", "_sw_rep"))))
     named = classes.drop("_sw_sig", "_sw_lanes").join(labels, classes["_sw_rep"] == labels["_sw_id"], "left")
     named = named.select("_sw_f1", "_sw_f2", "_sw_n", F.coalesce("_sw_comp", "_sw_rep").alias("component_id"))
     out = sigs.drop("_sw_sig", "_sw_lanes").join(named, ["_sw_f1", "_sw_f2", "_sw_n"], "left")

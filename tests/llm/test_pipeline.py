@@ -42,3 +42,13 @@ def test_pipeline(spark, tmp_path):
     assert sorted(seen[4]) == sorted(seen[3])
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, run.collect())) == sorted(map(str, current.collect()))
+
+
+def test_doc_ids_repeated_over_texts(spark):
+    """Rows of one doc_id go or stay together, and every component keeps its first document."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b), (11, c), (12, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(docs).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(3, 3, True), (5, 3, False), (9, 3, False), (11, 11, True), (12, 11, False)}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [3, 11]
