@@ -197,6 +197,17 @@ def test_msa(spark):
     assert cons[2] == "ACGT" and U.masked_distance(cons[1], base) <= 3
 
 
+def test_multiple_alignment_query_is_whole(spark, monkeypatch):
+    """The registered query aligns the whole reads."""
+    r = random.Random(6)
+    rows = [(i, f"read{i}", "".join(r.choices("ACGT", k=64)), "".join(r.choices("5?I", k=64))) for i in range(9)]
+    reads = spark.createDataFrame(rows, "read_idx long, read_name string, seq string, qual string")
+    monkeypatch.setattr(queries.D, "reads", lambda *_: reads)
+    got = queries.QUERIES["o39_multi_read_align"](spark, "").orderBy("group_id").collect()
+    assert [x.replace("-", "") for g in got for x in g.aln.split("|")] == [s for _, _, s, _ in rows]
+    assert [x for g in got for x in g.quals.split(" ")] == [q for *_, q in rows]
+
+
 def test_sources(spark, tmp_path):
     reads = fastq.mock_reads(spark, 3, 4, 50, "ACGT", "GGTT", seed=2).cache()
     fastq.write_fastq(reads, str(tmp_path / "r"))
