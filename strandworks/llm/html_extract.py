@@ -43,7 +43,7 @@ def inputs(pages: list[Page], paths: Paths) -> np.ndarray:
     x[:, PATH_DIM : PATH_DIM + WORD_DIM] = counts / np.maximum(n, 1)[:, None]
     x[:, -3] = np.log1p(n) / 4
     x[:, -2] = [t[-1] in ".!?" for _, t in rows]
-    x[:, -1] = [sum(map(str.isupper, t[:200])) / min(len(t), 200) for _, t in rows]
+    x[:, -1] = [sum(map(str.isupper, t)) / len(t) for _, t in rows]
     return x
 
 

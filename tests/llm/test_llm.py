@@ -353,5 +353,12 @@ def test_html(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_capitals_of_the_whole_block():
+    paths = Paths()
+    (path, _), = blocks("<p>text</p>", paths)
+    x = html_extract.inputs([[(path, "a" * 200 + "B" * 200), (path, "a" * 400)]], paths)
+    assert list(x[:, -1]) == [0.5, 0]
+
+
 def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
