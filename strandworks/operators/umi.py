@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandworks.functions import sequences as S
+from strandworks.operators.components import components
+from strandworks.scratch import cut
 
 
 def masked_distance(a: str, b: str) -> float:
@@ -85,32 +87,6 @@ def greedy_clusters(links: dict[int, set[int]]) -> list[list[int]]:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(node, comp)``: smallest node reachable over ``(a, b)``; labels spread and jump until none changes."""
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
-    labels = _kept(labels.select("node", F.least("node", "comp").alias("comp")))
-    edges = _kept(edges.select("a", "b").where("a <> b"))
-    while True:
-        near = edges.join(labels.toDF("b", "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("c2"))
-        new = labels.join(near, "node", "left").select("node", F.least("comp", F.coalesce("c2", "comp")).alias("c1"))
-        jump = labels.toDF("c1", "c3")
-        new = _kept(new.join(jump, "c1", "left").select("node", F.least("c1", F.coalesce("c3", "c1")).alias("comp")))
-        changed = new.join(labels.withColumnRenamed("comp", "old"), "node").where("comp <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that the cluster names, or in a temporary one where it names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandworks-"))
-    return df.checkpoint()
-
-
 def cluster_links(links: DataFrame) -> DataFrame:
     """``cluster_id, read_idx``: greedy star clusters of each connected component.
 
@@ -143,10 +119,10 @@ def umi_group(reads: DataFrame, threshold1: float = 3, threshold2: float | None
     names = ["umi1"] + ["umi2"] * (threshold2 is not None)
     if max_error is not None:
         df = df.withColumns({n: S.quality_mask(F.col(n), F.col(n.replace("umi", "qual")), max_error, kind) for n in names})
-    df = _kept(df.select("read_idx", "pre_group", *names))
+    df = cut(df.select("read_idx", "pre_group", *names))
     near = neighbours(df, threshold1, threshold2).select("a", "b")
     alone = df.select(F.col("read_idx").alias("a")).join(near.select("a").distinct(), "a", "left_anti")
-    return cluster_links(_kept(near.unionByName(alone.withColumn("b", F.lit(None).cast("long")))))
+    return cluster_links(cut(near.unionByName(alone.withColumn("b", F.lit(None).cast("long")))))
 
 
 def expected_distances(seqs: DataFrame, max_error: float | None = None, kind: str = "phred") -> DataFrame:

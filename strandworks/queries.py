@@ -15,6 +15,7 @@ from strandworks.operators import msa as M
 from strandworks.operators import statistics as T
 from strandworks.operators import umi as U
 from strandworks.plans import derived as D
+from strandworks.scratch import scratch_path
 from strandworks.sources import fastq, sam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,20 +37,9 @@ READS = f"WITH {D.READS_SQL} "
 COMP = "translate(reverse({}), 'ACGT', 'TGCA')"
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the shared one."""
-    import tempfile
-    import uuid
-
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandworks-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 @query(READS + "SELECT read_idx, read_name, seq, qual FROM reads")
 def o01_fastq_round_trip(spark, sf_dir):
-    path = _scratch(spark, "fastq")
+    path = scratch_path(spark, "fastq")
     fastq.write_fastq(D.reads(spark, sf_dir), path)
     back = fastq.read_fastq(spark, path)
     return back.select(F.substring("read_name", 5, 20).cast("long").alias("read_idx"), "read_name", "seq", "qual")
