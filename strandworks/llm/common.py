@@ -6,12 +6,11 @@ that adds result columns replaces input columns of the same name.
 
 from __future__ import annotations
 
-import gc
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandworks.scratch import cut, free  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Space and the control characters 0x09 to 0x0D.
@@ -45,32 +44,6 @@ def with_row_key(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({"_sw_k1": k1, "_sw_k2": k2})
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandworks-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and drops the lineage.
-
-    Spark deletes shuffle files, broadcasts and checkpoints of finished steps
-    when the driver's garbage collector finds their handles dead, so one
-    collection is asked for here; without it they pile up until the end.
-    """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    done = df.checkpoint()._jdf
-    # a checkpoint keeps the size that was estimated for its plan; over rounds of joins those products of products grow
-    # to numbers of megabytes, so the rows get a plan without an estimate
-    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
 def with_running_ends(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replaces arrays of longs by their inclusive running sums, null kept.
 
