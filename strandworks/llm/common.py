@@ -24,9 +24,14 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+#: Letters other than A-Z that the built-in lower-casing may change, and characters this Java does not know.
+OTHER_CAPITALS = r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^A-Z]]"
+
+
 def ascii_lower(c: Column) -> Column:
-    """Lower-cases A-Z alone; pure ASCII takes the byte-wise built-in."""
-    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+    """Lower-cases A-Z alone; a text without other capitals takes the built-in, which is many times faster."""
+    plain = (F.octet_length(c) == F.char_length(c)) | ~c.rlike(OTHER_CAPITALS)
+    return F.when(plain, F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def hash128(*cols: Column) -> list[Column]:

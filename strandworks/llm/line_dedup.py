@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, hash128, text_of, with_row_key
+from .common import BLANKS, ascii_lower, cut, hash128, semi_join, text_of, with_row_key
 
 
 def line_key(line: Column) -> Column:
@@ -30,9 +30,11 @@ def line_dedup(
     empty table gives an empty result; input columns named like a result
     column are replaced.
 
-    Only 28 bytes a line and each text once are shuffled. A key that a third
-    of all lines share is summed up on the map side, and the join that finds
-    its positions is a plain equi-join, whose large partitions AQE splits.
+    Lines are normalised and hashed once and kept as 16 bytes each. The
+    frequent hashes are counted and, up to a bound, broadcast, so that a key
+    that a third of all lines share makes no partition of its own; above the
+    bound they are joined by a shuffle whose large partitions AQE splits.
+    Counts are combined before their shuffle; each text is shuffled once.
     """
     base = with_row_key(docs, doc_id, text)
     lines = F.split(text_of(text), "\n", -1)
@@ -42,10 +44,9 @@ def line_dedup(
         h1, h2 = hash128(key)
         return F.when(F.char_length(key) >= min_chars, F.struct(h1.alias("h1"), h2.alias("h2")))
 
-    # the outer forms keep the optimiser from filtering on, and so hashing, the lines once more
-    keys = base.select("_sw_k1", "_sw_k2", F.transform(lines, hashed).alias("_sw_h"))
+    keys = cut(base.select("_sw_k1", "_sw_k2", F.transform(lines, hashed).alias("_sw_h")))
     frequent = (
-        keys.select(F.explode_outer(F.array_distinct("_sw_h")).alias("h"))
+        keys.select(F.explode(F.array_distinct("_sw_h")).alias("h"))
         .where("h is not null")
         .groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
         .agg(F.count("*").alias("n"))
@@ -53,11 +54,12 @@ def line_dedup(
         .select("h1", "h2")
     )
     places = (
-        keys.select("_sw_k1", "_sw_k2", F.posexplode_outer("_sw_h").alias("pos", "h"))
+        keys.select("_sw_k1", "_sw_k2", F.posexplode("_sw_h").alias("pos", "h"))
         .where("h is not null")
         .select("_sw_k1", "_sw_k2", "pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
     )
-    drops = places.join(frequent, ["h1", "h2"]).groupBy("_sw_k1", "_sw_k2").agg(F.collect_set("pos").alias("_sw_drop"))
+    drops = semi_join(places, cut(frequent), ["h1", "h2"])
+    drops = drops.groupBy("_sw_k1", "_sw_k2").agg(F.collect_set("pos").alias("_sw_drop"))
     n = F.size("_sw_lines")
     kept = F.when(F.col("_sw_drop").isNull(), F.col("_sw_lines")).otherwise(
         F.transform(
