@@ -37,20 +37,30 @@ def simhash(hashes: Column) -> Column:
     return total
 
 
-def block_keys(fingerprint: Column) -> Column:
-    """RADIUS + 1 blocks that tile the bits: fingerprints within RADIUS agree in one of them at least."""
-    blocks, at = [], 0
-    for n in range(RADIUS + 1):
-        width = BITS // (RADIUS + 1) + (n < BITS % (RADIUS + 1))
-        value = F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << width) - 1))
-        blocks.append(F.struct(F.lit(n).alias("block"), value.alias("bits")))
-        at += width
-    return F.array(*blocks)
+def blocks() -> list[tuple[int, int]]:
+    """(first bit, width) of RADIUS + 1 blocks that tile the bits: fingerprints within RADIUS agree in one at least."""
+    n = RADIUS + 1
+    widths = [BITS // n + (i < BITS % n) for i in range(n)]
+    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
 
 
-def bag(hashes: Column) -> Column:
-    """A set that stands for the bag: each hash with the number of its earlier repeats."""
-    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, F.lit(1), i), lambda x: x == h))))
+def block_keys(fingerprint: Column, length: Column) -> Column:
+    """One key for each block: its number, its bits and the length of the item."""
+    bits = lambda at, width: F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << width) - 1))
+    return F.array(*[F.struct(F.lit(i).alias("block"), F.xxhash64(F.lit(i), length, bits(*b)).alias("key")) for i, b in enumerate(blocks())])
+
+
+def first_equal_block(xor: Column) -> Column:
+    """The first block in which two fingerprints agree, given their exclusive or; null if none."""
+    mask = lambda at, width: F.lit((((1 << width) - 1) << at) - ((1 << BITS) if at + width == BITS else 0))
+    return F.coalesce(*[F.when(xor.bitwiseAND(mask(*b)) == 0, F.lit(i)) for i, b in enumerate(blocks())])
+
+
+def with_bag(df: DataFrame, hashes: str, name: str) -> DataFrame:
+    """Adds a set that stands for the bag: each hash with the number of its earlier repeats."""
+    df = df.withColumn(name, F.array_sort(hashes))
+    ranked = F.transform(name, lambda h, i: F.xxhash64(h, i - F.array_position(F.col(name), h)))
+    return df.withColumn(name, F.when(F.size(F.array_distinct(name)) == F.size(name), F.transform(name, lambda h: F.xxhash64(h, F.lit(-1).cast("long")))).otherwise(ranked))
 
 
 def shared_needed(both: Column, percent: int) -> Column:
@@ -86,55 +96,64 @@ def contaminated(
 
     1. A window can be similar to an item only if enough of its shingles of
        ``size`` words are the item's. Documents and items meet by shingle, and
-       of the windows as long as the item all are proposed, at any start, that
-       hold as many places with a shingle of the item as ``percent`` asks for.
+       of the windows as long as the item those get a fingerprint, at any
+       start, that hold as many places with a shingle of the item as
+       ``percent`` asks for. Which item it was is not kept.
     2. Windows and items get a 64-bit SimHash. The fingerprints are cut into
-       RADIUS + 1 blocks; an item and a window proposed for it meet if a block
-       is equal, which holds for all pairs within the radius.
+       RADIUS + 1 blocks, and windows meet the items of their length by an
+       equi-join on a block's bits, which finds all pairs within the radius. A
+       pair is taken in its first equal block.
     3. Pairs within the radius are verified: weighted Jaccard of the two bags
        of shingles (sum of minima / sum of maxima of the counts).
 
-    Returns one row per row of ``docs`` and item whose similarity reaches
-    ``percent`` / 100: the best window's ``similarity``, ``start_word``,
-    ``n_words`` and ``hamming``, with ``doc_id, item_id`` and the document's
-    row key ``_sw_k1, _sw_k2``. Words are runs of non-blanks, A-Z lower-cased.
+    Returns one row per distinct row (doc_id and text) of ``docs`` and item
+    whose similarity reaches ``percent`` / 100: the best window's
+    ``similarity``, ``start_word``, ``n_words`` and ``hamming``, with
+    ``doc_id, item_id`` and the document's row key ``_sw_k1, _sw_k2``. Words
+    are runs of non-blanks, A-Z lower-cased.
 
     Defined cases: null and short texts match nothing; an item under ``size``
     words has no shingle and matches nothing; repeated items each match; rows
     that repeat a document match once; a document shorter than an item is one
     window; empty tables give an empty result; other columns are left out.
 
-    The items' shingles are broadcast up to a checked number and joined by a
-    shuffle above it, and so are the items. Only shared shingles, the starts
-    of proposed windows and documents that have some are shuffled otherwise.
+    The items' shingles are broadcast up to a checked number and joined above
+    it by a shuffle whose large partitions AQE splits, and so are the items.
+    Only shared shingles, the starts of proposed windows, their block keys and
+    documents that have some are shuffled otherwise.
     """
     base = with_row_key(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), "_sw_k1", "_sw_k2", F.col(text).alias("_sw_text"))
     items = with_shingles(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_sw_text")), size, "_sw_ih")
-    items = cut(items.distinct()).where(F.size("_sw_ih") > 0)
-    items = cut(items.withColumn("_sw_fp", simhash(F.col("_sw_ih"))).withColumn("_sw_item", F.xxhash64("item_id", "_sw_ih")))
-    items = items.withColumn("_sw_fb", block_keys(F.col("_sw_fp")))
-    grams = items.select("_sw_item", F.size("_sw_ih").alias("_sw_l"), F.explode(F.array_distinct("_sw_ih")).alias("_sw_g"))
-    few = (items.agg(F.sum(F.size("_sw_ih"))).first()[0] or 0) <= GRAMS
+    items = items.distinct().where(F.size("_sw_ih") > 0)
+    items = items.withColumn("_sw_fp", simhash(F.col("_sw_ih"))).withColumn("_sw_item", F.xxhash64("item_id", "_sw_ih"))
+    items = cut(items.withColumn("_sw_l", F.size("_sw_ih")))
+    grams = items.select("_sw_item", "_sw_l", F.explode(F.array_distinct("_sw_ih")).alias("_sw_g"))
+    few = (items.agg(F.sum("_sw_l")).first()[0] or 0) <= GRAMS
+    held = F.broadcast if few else lambda df: df
     places = with_shingles(base, size, "_sw_h").select(
         "_sw_k1", "_sw_k2", F.size("_sw_h").alias("_sw_n"), F.posexplode_outer("_sw_h").alias("_sw_pos", "_sw_g")
     )
-    hits = places.join(F.broadcast(grams) if few else grams, "_sw_g")
+    hits = places.join(held(grams), "_sw_g")
     hits = hits.groupBy("_sw_k1", "_sw_k2", "_sw_item", "_sw_l", "_sw_n").agg(F.sort_array(F.collect_set("_sw_pos")).alias("_sw_at"))
     hits = hits.withColumn("_sw_w", F.least("_sw_n", "_sw_l")).withColumn("_sw_need", shared_needed(F.col("_sw_w") + F.col("_sw_l"), percent))
     hits = cut(hits.where(F.size("_sw_at") >= F.col("_sw_need")))
-    hits = hits.withColumn("_sw_start", F.explode(window_starts(F.col("_sw_at"), F.col("_sw_need"), F.col("_sw_w"), F.col("_sw_n"))))
+    starts = hits.withColumn("_sw_start", F.explode(window_starts(F.col("_sw_at"), F.col("_sw_need"), F.col("_sw_w"), F.col("_sw_n"))))
+    starts = starts.select("_sw_k1", "_sw_k2", "_sw_l", "_sw_w", "_sw_start").distinct()
     touched = cut(hits.select("_sw_k1", "_sw_k2").distinct())
     bodies = semi_join(base, touched, ["_sw_k1", "_sw_k2"]).dropDuplicates(["_sw_k1", "_sw_k2"])
-    bodies = with_shingles(bodies, size, "_sw_h")
-    windows = hits.select("_sw_k1", "_sw_k2", "_sw_item", "_sw_w", "_sw_start").join(bodies, ["_sw_k1", "_sw_k2"])
-    windows = windows.select(
-        "doc_id", "_sw_k1", "_sw_k2", "_sw_item", "_sw_start", F.slice("_sw_h", F.col("_sw_start") + 1, F.col("_sw_w")).alias("_sw_wh")
-    )
-    windows = windows.withColumn("_sw_wfp", simhash(F.col("_sw_wh")))
-    near = F.bit_count(F.col("_sw_wfp").bitwiseXOR(F.col("_sw_fp")))
-    block = F.arrays_overlap(block_keys(F.col("_sw_wfp")), F.col("_sw_fb"))
-    met = windows.join(F.broadcast(items) if few else items, "_sw_item").where(block & (near <= RADIUS)).withColumn("hamming", near)
-    met = met.withColumns({"_sw_x": bag(F.col("_sw_wh")), "_sw_y": bag(F.col("_sw_ih"))})
+    windows = starts.join(with_shingles(bodies, size, "_sw_h"), ["_sw_k1", "_sw_k2"])
+    window = ["_sw_k1", "_sw_k2", "_sw_l", "_sw_start"]
+    windows = windows.select("doc_id", *window, F.slice("_sw_h", F.col("_sw_start") + 1, F.col("_sw_w")).alias("_sw_wh"))
+    windows = cut(windows.withColumn("_sw_wfp", simhash(F.col("_sw_wh"))))
+    keys = lambda fp: F.inline(block_keys(F.col(fp), F.col("_sw_l")))
+    probes = windows.select(*window, "_sw_wfp", keys("_sw_wfp"))
+    index = items.select("item_id", "_sw_item", "_sw_fp", keys("_sw_fp"))
+    xor = F.col("_sw_wfp").bitwiseXOR(F.col("_sw_fp"))
+    met = probes.join(held(index), ["block", "key"])
+    met = met.where((F.bit_count(xor) <= RADIUS) & (first_equal_block(xor) == F.col("block")))
+    met = met.select(*window, "_sw_item", F.bit_count(xor).alias("hamming"))
+    met = met.join(windows.drop("_sw_wfp"), window).join(held(items.select("item_id", "_sw_item", "_sw_ih")), "_sw_item")
+    met = with_bag(with_bag(met, "_sw_wh", "_sw_x"), "_sw_ih", "_sw_y")
     met = met.withColumn("_sw_i", F.size(F.array_intersect("_sw_x", "_sw_y")))
     met = met.withColumn("_sw_u", F.size("_sw_x") + F.size("_sw_y") - F.col("_sw_i")).where(F.col("_sw_i") * 100 >= F.col("_sw_u") * percent)
     best = F.max(
