@@ -22,6 +22,8 @@ SAMPLE, MIN_DOCS = 3000, 10
 PREFIXES = (4, 6)
 #: Log odds from which a word gets a weight.
 LEAST_ODDS = 1.0
+#: Mean word lengths above this look alike: such texts hold no words, and longer runs say nothing more.
+LONGEST_MEAN = 50
 
 _kind = np.zeros(256, np.uint8)  # 1 upper, 2 lower or non-ASCII, 3 digit, 4 blank, 5 other
 _kind[:] = 5
@@ -72,7 +74,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, Parts]]:
                 _share(kind == 1, off),
                 _share(kind == 5, off),
                 _share(kind == 3, off),
-                np.minimum(np.diff(off) / words, 50) / 10,
+                np.minimum(np.diff(off) / words, LONGEST_MEAN) / 10,
                 _share(body == 10, off),
             ],
             axis=1,
@@ -180,13 +182,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str,
     """Texts and grades of at most ``sample`` labelled documents, chosen by a hash of the id.
 
     The grade counts what is good about a document: 0, 1 or 2 for quality
-    and for not being toxic; null labels do not count as good.
+    and for not being toxic; null labels do not count as good. Of the texts of
+    a repeated doc_id the smallest is taken.
     """
     grade = F.coalesce(F.col("quality").cast("int"), F.lit(0)) + 1 - F.coalesce(F.col("toxic").cast("int"), F.lit(1))
     chosen = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(grade).alias("_sw_grade"))
     chosen = chosen.orderBy(F.xxhash64(F.col("doc_id"), F.lit(6))).limit(sample)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("_sw_text")).join(F.broadcast(chosen), "doc_id")
-    table = rows.select("doc_id", "_sw_text", "_sw_grade").limit(2 * sample).toArrow().sort_by([("doc_id", "ascending"), ("_sw_text", "ascending")])
+    rows = rows.groupBy("doc_id").agg(F.min("_sw_text").alias("_sw_text"), F.min("_sw_grade").alias("_sw_grade"))
+    table = rows.toArrow().sort_by([("doc_id", "ascending")])
     return table["_sw_text"].combine_chunks(), np.clip(table["_sw_grade"].to_numpy(), 0, 2).astype(int)
 
 
