@@ -33,13 +33,12 @@ def adaptor_struct(adaptor: str, seq: Column, qual: Column, settings: K.Settings
     @F.pandas_udf(schema)
     def run(s: pd.Series, q: pd.Series) -> pd.DataFrame:
         seqs, quals, out = s.tolist(), q.tolist(), []
-        for text, marks, (score, moves) in zip(seqs, quals, K.traced(ref, seqs, quals, settings), strict=True):
-            at = K.placements(moves, len(ref), len(text))
-            row = {"score": score, **dict(zip(("start", "end"), K.whole_range(at), strict=True))}
+        for text, marks, (score, spans) in zip(seqs, quals, K.traced(ref, seqs, quals, settings), strict=True):
+            row = {"score": score, **dict(zip(("start", "end"), spans.whole(), strict=True))}
             if runs:
                 row["subseq"] = {}
                 for n, (first, last) in enumerate(runs):
-                    start, width = K.section_range(at, first, last, len(text))
+                    start, width = spans.section(first, last, len(text))
                     row["subseq"][f"Sub{n + 1}"] = {"seq": text[start - 1 : start - 1 + width], "qual": marks[start - 1 : start - 1 + width]}
             out.append(row)
         return pd.DataFrame(out, columns=["score", "start", "end", *["subseq"] * bool(runs)])
@@ -47,16 +46,16 @@ def adaptor_struct(adaptor: str, seq: Column, qual: Column, settings: K.Settings
     return run(seq, qual)
 
 
-def quality_align(df: DataFrame, reference: str, opening: float = 5, extension: float = 1, edit_only: bool = False, seq: str = "seq", qual: str = "qual") -> DataFrame:
+def quality_align(df: DataFrame, reference: str, opening: float = 5, extension: float = 1, edit_only: bool = False, seq: str = "seq", qual: str = "qual", kind: str = "phred", iupac: str = "compat") -> DataFrame:
     """Global alignment of each read: adds ``score, edit`` and, unless ``edit_only``, ``reference, query``."""
     ref = reference.upper()
-    settings = K.Settings(opening, extension, local=False)
+    settings = K.Settings(opening, extension, False, kind, iupac)
 
     @F.pandas_udf("score double, edit int, reference string, query string")
     def run(s: pd.Series, q: pd.Series) -> pd.DataFrame:
         seqs, out = s.tolist(), []
-        for text, (score, moves) in zip(seqs, K.traced(ref, seqs, q.tolist(), settings), strict=True):
-            a, b = K.gapped(moves, ref, text)
+        for text, (score, spans) in zip(seqs, K.traced(ref, seqs, q.tolist(), settings), strict=True):
+            a, b = spans.gapped(ref, text)
             out.append((score, sum(x != y for x, y in zip(a, b, strict=True)), a, b))
         return pd.DataFrame(out, columns=["score", "edit", "reference", "query"])
 
@@ -75,10 +74,11 @@ class AlignParams:
     opening: float = 5
     extension: float = 1
     kind: str = "phred"
+    iupac: str = "compat"
 
     @property
     def settings(self) -> K.Settings:
-        return K.Settings(self.opening, self.extension, True, self.kind)
+        return K.Settings(self.opening, self.extension, True, self.kind, self.iupac)
 
 
 def windows(reads: DataFrame, tolerance: int) -> DataFrame:
@@ -134,13 +134,15 @@ def filter_reads(aligned: DataFrame, score1: float, score2: float, essential1: b
     return df.withColumns({"trim_start": start, "trim_end": end}).where("trim_start < trim_end")
 
 
-def barcode_align(reads: DataFrame, barcodes: list[str], opening: float = 5, extension: float = 1) -> DataFrame:
+def barcode_align(
+    reads: DataFrame, barcodes: list[str], opening: float = 5, extension: float = 1, kind: str = "phred", iupac: str = "compat"
+) -> DataFrame:
     """Best barcode (1-based, the first of equals), its global score and its lead over the second best.
 
     The barcodes are part of the query, so every read meets all of them in
     one pass without a join.
     """
-    refs, settings = [b.upper() for b in barcodes], K.Settings(opening, extension, local=False)
+    refs, settings = [b.upper() for b in barcodes], K.Settings(opening, extension, False, kind, iupac)
 
     @F.pandas_udf("barcode int, score double, gap double")
     def run(s: pd.Series, q: pd.Series) -> pd.DataFrame:
@@ -182,9 +184,14 @@ def realize_reads(aligned: DataFrame, reads: DataFrame, trim: bool = True) -> Da
 
 
 def extract_subseq(aligned: DataFrame, reads: DataFrame, p: AlignParams, sections1: list[tuple[int, int]], sections2: list[tuple[int, int]]) -> DataFrame:
-    """Read bases under any sections of the adaptors, by aligning again on the strand already known."""
+    """Read bases under any sections of the adaptors, by aligning again on the strand already known.
+
+    Of reads that share a name the first is taken.
+    """
     known = aligned.select("read_name", "reversed", F.col("adaptor1.score").alias("_k1"), F.col("adaptor2.score").alias("_k2"))
-    df = windows(reads.join(known, "read_name"), p.tolerance)
+    first = F.row_number().over(Window.partitionBy("read_name").orderBy("read_idx"))
+    source = reads.withColumn("_n", first).where("_n = 1").drop("_n")
+    df = windows(source.join(known, "read_name"), p.tolerance)
     out = []
     for n, adaptor, sections in ((1, p.adaptor1, sections1), (2, p.adaptor2, sections2)):
         if not sections:
@@ -204,9 +211,8 @@ def _sections(adaptor: str, sections: list[tuple[int, int]], seq: Column, qual:
     @F.pandas_udf("score double, parts array<string>")
     def run(s: pd.Series, q: pd.Series) -> pd.DataFrame:
         seqs, out = s.tolist(), []
-        for text, (score, moves) in zip(seqs, K.traced(ref, seqs, q.tolist(), settings), strict=True):
-            at = K.placements(moves, len(ref), len(text))
-            spots = [K.section_range(at, a, b, len(text)) for a, b in sections]
+        for text, (score, spans) in zip(seqs, K.traced(ref, seqs, q.tolist(), settings), strict=True):
+            spots = [spans.section(a, b, len(text)) for a, b in sections]
             out.append((score, [text[i - 1 : i - 1 + w] for i, w in spots]))
         return pd.DataFrame(out, columns=["score", "parts"])
 

@@ -17,8 +17,9 @@ from strandworks.functions.sequences import error_table
 #: How many bases an IUPAC letter stands for.
 CLASS = {**dict.fromkeys("ACGT", 1), **dict.fromkeys("MRWSYK", 2), **dict.fromkeys("VHDB", 3), "N": 4}
 MEMBERS = {"M": "AC", "R": "AG", "W": "AT", "S": "CG", "Y": "CT", "K": "GT", "V": "ACG", "H": "ACT", "D": "AGT", "B": "CGT"}
-DIAGONAL, LEFT, UP, DIRECTION, LEFT_LONGER, UP_LONGER = 0, 1, 2, 3, 4, 8
-#: Cells of stored directions that a batch holds at most, one byte each.
+#: Best ending of a cell, and whether a gap that ends there is longer than one base.
+DIAGONAL, LEFT, UP, ENDING, LEFT_LONGER, UP_LONGER = 0, 1, 2, 3, 4, 8
+#: Cells of stored endings that a batch holds at most, one byte each.
 CELLS = 32_000_000
 
 
@@ -52,157 +53,125 @@ def encode(texts: list[str], width: int) -> np.ndarray:
     return out
 
 
-def align(reference: str, seqs: list[str], quals: list[str], s: Settings, directions: bool):
-    """Scores of a batch, and with ``directions`` the (diagonal, read, column) array to trace back through."""
+def gains(reference: str, seqs: list[str], quals: list[str], s: Settings) -> list[np.ndarray]:
+    """For each reference base the (read, read base) scores of pairing the two."""
     if any(c not in CLASS for c in reference):
         raise ValueError(f"unknown reference base in '{reference}'")
     if any(len(a) != len(b) for a, b in zip(seqs, quals, strict=True)):
         raise ValueError("sequence and quality strings should have the same length")
-    lengths = np.array([len(x) for x in seqs], int)
-    b, n, width = len(seqs), int(lengths.max(initial=0)), len(reference)
-    open_, ext = s.opening + s.extension, s.extension
-    if width == 0:
-        flat = np.zeros(b) if s.local else np.where(lengths > 0, -(s.opening + ext * lengths), 0.0)
-        return flat, np.full((n + 1, b, 1), UP, np.uint8)
+    n = max(map(len, seqs), default=0)
     first, match, mismatch = score_tables(s.kind)
-    seen = encode(seqs, n)
-    code = encode(quals, n).astype(int) - first
-    code[np.arange(n) >= lengths[:, None]] = 0
+    seen, code = encode(seqs, n), encode(quals, n).astype(int) - first
+    code[np.arange(n) >= np.array([len(x) for x in seqs], int)[:, None]] = 0
     if (code < 0).any():
         raise ValueError("quality character below the encoding")
     code = np.minimum(code, match.shape[1] - 1)
-    ref = np.frombuffer(reference.encode(), np.uint8)
-    kinds = np.array([CLASS[c] for c in reference])
-    hit, miss = match[0][code], mismatch[0][code]
-    plain = kinds == 1
-    special = {}
-    for j in np.flatnonzero(~plain):
-        letter, k = reference[j], kinds[j]
-        if k == 4:
-            special[j] = np.zeros_like(hit)
-        elif s.iupac == "compat":
-            special[j] = (mismatch if k == 2 else match)[k - 1][code]
+    table = {}
+    for letter in set(reference):
+        k = CLASS[letter] - 1
+        inside = np.isin(seen, np.frombuffer(MEMBERS.get(letter, letter).encode(), np.uint8))
+        if letter == "N":
+            table[letter] = np.zeros(code.shape)
+        elif k and s.iupac == "compat":
+            table[letter] = (mismatch if k == 1 else match)[k][code]
         else:
-            inside = np.isin(seen, np.frombuffer(MEMBERS[letter].encode(), np.uint8))
-            special[j] = np.where(inside, match[k - 1][code], miss)
-    up_open, up_ext = np.full(width + 1, open_), np.full(width + 1, ext)
-    if s.local:
-        up_open[-1] = up_ext[-1] = 0
-    lowest = np.full((b, width + 1), -np.inf)
-    before, last = lowest.copy(), lowest.copy()
-    left, up = lowest.copy(), lowest.copy()
-    last_dir = np.zeros((b, width + 1), np.uint8)
+            table[letter] = np.where(inside, match[k][code], mismatch[0][code])
+    return [table[c] for c in reference]
+
+
+def align(reference: str, seqs: list[str], quals: list[str], s: Settings, endings: bool):
+    """Scores of a batch, and with ``endings`` the (diagonal, read, column) array that :func:`walk` reads.
+
+    Three states per cell: the best alignment, the best that ends with a
+    reference base in a gap (left), the best that ends with a read base in one
+    (up). Of equal endings up is preferred to left and left to diagonal.
+    """
+    gain = gains(reference, seqs, quals, s)
+    lengths = np.array([len(x) for x in seqs], int)
+    b, n, width = len(seqs), int(lengths.max(initial=0)), len(reference)
+    begin = lambda k: -(s.opening + s.extension * k)
+    if width == 0:
+        return np.where((lengths > 0) & (not s.local), begin(lengths), 0.0), None
+    # a read base beside the last reference base is free in local mode
+    charged = np.ones(width + 1)
+    charged[-1] = not s.local
+    nothing = np.full((b, width + 1), -np.inf)
+    best, older, left, up = nothing, nothing, nothing, nothing
     out = np.zeros(b)
-    tape = np.zeros((n + width + 1, b, width + 1), np.uint8) if directions else None
+    tape = np.zeros((n + width + 1, b, width + 1), np.uint8) if endings else None
     for d in range(n + width + 1):
-        now, way = lowest.copy(), np.zeros((b, width + 1), np.uint8)
-        new_left, new_up = lowest.copy(), lowest.copy()
-        if d <= n:
-            now[:, 0] = 0 if d == 0 or s.local else -(open_ + ext * (d - 1))
-            way[:, 0] = UP
-        if 0 < d <= width:
-            now[:, d] = -(open_ + ext * (d - 1))
-            way[:, d] = LEFT
+        now, now_left, now_up = nothing.copy(), nothing.copy(), nothing.copy()
         lo, hi = max(1, d - n), min(width, d - 1)
         if lo <= hi:
-            j = slice(lo, hi + 1)
-            p = slice(lo - 1, hi)
-            rows = np.arange(d - lo - 1, d - hi - 2, -1)  # read positions along the diagonal
-            gain = np.where(seen[:, rows] == ref[lo - 1 : hi], hit[:, rows], miss[:, rows])
-            for c, table in special.items():
-                if lo - 1 <= c < hi:
-                    gain[:, c - lo + 1] = table[:, d - c - 2]
-            straight = before[:, p] + gain
-            fresh = last[:, p] - np.where(last_dir[:, p] & DIRECTION == LEFT, ext, open_)
-            longer = left[:, p] - ext
-            extend = longer > fresh
-            across = np.where(extend, longer, fresh)
-            fresh = last[:, j] - np.where(last_dir[:, j] & DIRECTION == UP, up_ext[j], up_open[j])
-            longer = up[:, j] - up_ext[j]
-            taller = longer > fresh
-            down = np.where(taller, longer, fresh)
-            diagonal = (straight > across) & (straight > down)
-            sideways = ~diagonal & (across > down)
-            now[:, j] = np.where(diagonal, straight, np.where(sideways, across, down))
-            way[:, j] = np.where(diagonal, DIAGONAL, np.where(sideways, LEFT, UP)) + extend * np.uint8(LEFT_LONGER) + taller * np.uint8(UP_LONGER)
-            new_left[:, j], new_up[:, j] = across, down
-        if directions:
-            tape[d] = way
+            here, beside = slice(lo, hi + 1), slice(lo - 1, hi)
+            pair = np.stack([gain[j - 1][:, d - j - 1] for j in range(lo, hi + 1)], axis=1)
+            straight = older[:, beside] + pair
+            opened, longer = best[:, beside] + begin(1), left[:, beside] - s.extension
+            long_left, now_left[:, here] = longer > opened, np.maximum(opened, longer)
+            opened, longer = best[:, here] + begin(1) * charged[here], up[:, here] - s.extension * charged[here]
+            long_up, now_up[:, here] = longer > opened, np.maximum(opened, longer)
+            gap = np.maximum(now_left, now_up)[:, here]
+            now[:, here] = np.maximum(straight, gap)
+            if endings:
+                side = np.where(now_left > now_up, LEFT, UP)[:, here]
+                tape[d, :, here] = (np.where(straight > gap, DIAGONAL, side) + long_left * LEFT_LONGER + long_up * UP_LONGER).astype(np.uint8)
+        if d <= n:
+            now[:, 0] = 0 if s.local or d == 0 else begin(d)
+        if 0 < d <= width:
+            now[:, d] = begin(d)
         ended = lengths + width == d
         out[ended] = now[ended, width]
-        before, last, last_dir, left, up = last, now, way, new_left, new_up
+        best, older, left, up = now, best, now_left, now_up
     return out, tape
 
 
-def path(tape: np.ndarray, read: int, length: int, width: int) -> list[int]:
-    """Moves of one read's best alignment, from its end to its start."""
-    i, j, out = length, width, []
-    while i > 0 or j > 0:
-        if j == 0:
-            out += [UP] * i
-            break
-        cell = tape[i + j, read, j]
-        way = cell & DIRECTION
-        if i == 0:
-            way = LEFT
-        if way == DIAGONAL:
-            out.append(DIAGONAL)
-            i, j = i - 1, j - 1
-            continue
-        flag = LEFT_LONGER if way == LEFT else UP_LONGER
-        more = True
-        while more:
-            more = bool(tape[i + j, read, j] & flag) and i > 0
-            out.append(int(way))
-            i, j = (i, j - 1) if way == LEFT else (i - 1, j)
-            more = more and i > 0 and j > 0
-    return out
-
-
-def placements(moves: list[int], width: int, length: int) -> list[tuple[bool, int]]:
-    """For columns 1..width: (a base, its row) or (no base, the row after the gap's place); column 0 is a dummy."""
-    at: list[tuple[bool, int]] = [(False, 0)] * (width + 1)
-    i, j = length, width
-    for m in moves:
-        if m == UP:
-            i -= 1
-        elif m == LEFT:
-            at[j] = (False, i + 1)
-            j -= 1
-        else:
-            at[j] = (True, i)
-            i, j = i - 1, j - 1
-    return at
-
-
-def whole_range(at: list[tuple[bool, int]]) -> tuple[int, int]:
-    """First and last read base under the reference, 1-based; (0, 0) if there is none."""
-    if len(at) < 2:
-        return 0, 0
-    start, (base, row) = at[1][1], at[-1]
-    end = row if base else row - 1
-    return (start, end) if start <= end else (0, 0)
-
-
-def section_range(at: list[tuple[bool, int]], first: int, last: int, length: int) -> tuple[int, int]:
-    """(start, width) of the read bases that belong to a section, with the gaps at its edges."""
-    if len(at) < 2:
-        return 1, 0
-    start = 1 if first == 1 else at[first - 1][1] + at[first - 1][0]
-    stop = length + 1 if last == len(at) - 1 else at[last + 1][1]
-    return start, stop - start
-
-
-def gapped(moves: list[int], reference: str, query: str) -> tuple[str, str]:
-    i, j, a, b = len(query), len(reference), [], []
-    for m in moves:
-        if m != LEFT:
-            i -= 1
-        if m != UP:
-            j -= 1
-        a.append("-" if m == UP else reference[j])
-        b.append("-" if m == LEFT else query[i])
-    return "".join(reversed(a)), "".join(reversed(b))
+@dataclass(frozen=True)
+class Spans:
+    """How many read bases one alignment has used before and after each reference base."""
+
+    before: np.ndarray
+    after: np.ndarray
+
+    def whole(self) -> tuple[int, int]:
+        """First and last read base under the reference, 1-based; (0, 0) if there is none."""
+        if not len(self.after) or self.before[0] == self.after[-1]:
+            return 0, 0
+        return int(self.before[0]) + 1, int(self.after[-1])
+
+    def section(self, first: int, last: int, length: int) -> tuple[int, int]:
+        """(start, width) of the read bases between the reference bases around a section."""
+        if not len(self.after):
+            return 1, 0
+        used = self.after[first - 2] if first > 1 else 0
+        until = self.before[last] if last < len(self.before) else length
+        return int(used) + 1, int(until - used)
+
+    def gapped(self, reference: str, query: str) -> tuple[str, str]:
+        """Both strings with dashes."""
+        a, b, used = [], [], 0
+        for letter, start, stop in zip(reference, self.before.tolist(), self.after.tolist(), strict=True):
+            a.append("-" * (start - used) + letter)
+            b.append(query[used:stop] if stop > start else query[used:start] + "-")
+            used = stop
+        return "".join(a) + "-" * (len(query) - used), "".join(b) + query[used:]
+
+
+def walk(tape: np.ndarray | None, lengths: np.ndarray, width: int) -> list[Spans]:
+    """The spans of each read's best alignment; all reads of the batch step back at once."""
+    before, after = np.zeros((len(lengths), width), int), np.zeros((len(lengths), width), int)
+    i, j, inside = lengths.copy(), np.full(len(lengths), width), np.zeros(len(lengths), int)
+    # in row 0 only reference bases are left, and none has used a read base
+    while len(on := np.flatnonzero((i > 0) & (j > 0))):
+        r, c = i[on], j[on]
+        cell = tape[r + c, on, c]
+        move = np.where(inside[on] > 0, inside[on], cell & ENDING)
+        across, down = move != UP, move != LEFT
+        after[on[across], c[across] - 1] = r[across]
+        before[on[across], c[across] - 1] = (r - down)[across]
+        longer = np.where(move == LEFT, cell & LEFT_LONGER, np.where(move == UP, cell & UP_LONGER, 0)) > 0
+        inside[on] = np.where(longer, move, 0)
+        i[on], j[on] = r - down, c - across
+    return [Spans(x, y) for x, y in zip(before, after, strict=True)]
 
 
 def batches(seqs: list[str], width: int, directions: bool):
@@ -229,11 +198,12 @@ def scores(reference: str, seqs: list[str], quals: list[str], s: Settings) -> li
     return out
 
 
-def traced(reference: str, seqs: list[str], quals: list[str], s: Settings):
-    """(score, moves) of each read."""
+def traced(reference: str, seqs: list[str], quals: list[str], s: Settings) -> list[tuple[float, Spans]]:
+    """Score and spans of each read."""
     out: list = [None] * len(seqs)
     for part in batches(seqs, len(reference), True):
         got, tape = align(reference, [seqs[i] for i in part], [quals[i] for i in part], s, True)
-        for n, i in enumerate(part):
-            out[i] = (float(got[n]), path(tape, n, len(seqs[i]), len(reference)))
+        spans = walk(tape, np.array([len(seqs[i]) for i in part], int), len(reference))
+        for i, x, y in zip(part, got, spans, strict=True):
+            out[i] = (float(x), y)
     return out

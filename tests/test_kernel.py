@@ -44,10 +44,10 @@ def test_scores(local, gaps):
     seqs = ["".join(r.choices("ACGTN", k=r.randint(0, 40))) for _ in range(60)]
     seqs += [x[:5] + "ACGTGGACACGTAACC" + x[5:] for x in seqs[:20]]
     quals = ["".join(chr(33 + r.randint(1, 40)) for _ in x) for x in seqs]
-    for got, (score, moves), seq, qual in zip(K.scores(ref, seqs, quals, s), K.traced(ref, seqs, quals, s), seqs, quals, strict=True):
+    for got, (score, spans), seq, qual in zip(K.scores(ref, seqs, quals, s), K.traced(ref, seqs, quals, s), seqs, quals, strict=True):
         assert math.isclose(got, plain_score(ref, seq, qual, s), abs_tol=1e-9)
         assert got == score
-        a, b = K.gapped(moves, ref, seq)
+        a, b = spans.gapped(ref, seq)
         assert a.replace("-", "") == ref and b.replace("-", "") == seq and len(a) == len(b)
         assert math.isclose(path_score(a, b, qual, s), score, abs_tol=1e-9)
 
@@ -76,13 +76,13 @@ def test_edges():
     s = K.Settings()
     assert K.scores("", ["ACGT", ""], ["IIII", ""], s) == [0, 0]
     assert K.scores("AAAAGGGGCCCCTTTT", [""], [""], s) == [-21]
-    moves = K.traced("AAAAGGGGCCCCTTTT", [""], [""], s)[0][1]
-    assert K.whole_range(K.placements(moves, 16, 0)) == (0, 0)
+    assert K.traced("AAAAGGGGCCCCTTTT", [""], [""], s)[0][1].whole() == (0, 0)
+    assert K.traced("", ["AC"], ["II"], s)[0][1].whole() == (0, 0)
     read = "CCAAAAGGGGCCCCTTTTGA"
-    moves = K.traced("AAAAGGGGCCCCTTTT", [read], ["I" * 20], s)[0][1]
-    at = K.placements(moves, 16, 20)
-    assert K.whole_range(at) == (3, 18)
-    assert K.section_range(at, 1, 16, 20) == (1, 20)
+    spans = K.traced("AAAAGGGGCCCCTTTT", [read], ["I" * 20], s)[0][1]
+    assert spans.whole() == (3, 18)
+    assert spans.section(1, 16, 20) == (1, 20)
+    assert spans.section(5, 8, 20) == (7, 4)
     with pytest.raises(ValueError):
         K.scores("acgt", ["A"], ["I"], s)
     with pytest.raises(ValueError):
