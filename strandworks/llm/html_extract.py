@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +16,14 @@ from .html_blocks import PATH_DIM, Paths, blocks, bucket
 from .html_pages import Maker
 
 #: Buckets of hashed words, further inputs (length, end of sentence, share of capitals), and units of each direction.
-WORD_DIM, MORE, HIDDEN = 32, 3, 16
+WORD_DIM, MORE, HIDDEN = 32, 3, 20
 INPUT = PATH_DIM + WORD_DIM + MORE
-#: Pages labelled together, and pages of the training set.
-BATCH_PAGES, TRAINING_PAGES = 256, 700
+#: Pages and bytes of pages read together, and pages of the training set.
+BATCH_PAGES, BATCH_BYTES, TRAINING_PAGES = 256, 1 << 23, 2000
+#: Share of training pages that lose path items in a round, and of items that they lose.
+LOSING_PAGES, LOST_ITEMS = 0.25, 0.5
+#: Blocks, padding included, that go through the network at once; a longer page goes alone.
+CELLS = 1 << 14
 
 Page = list[tuple[int, str]]
 
@@ -137,12 +142,23 @@ class Labeller:
         return grads
 
     def label(self, pages: list[Page], paths: Paths) -> np.ndarray:
+        """Labels of all blocks. Pages of like length go together, so that padding stays small."""
         sizes = np.array([len(p) for p in pages], np.int64)
-        return self.forward(inputs(pages, paths), sizes)[0] > 0 if sizes.sum() else np.zeros(0, bool)
+        start = np.concatenate([[0], np.cumsum(sizes)])
+        out, order, at = np.zeros(start[-1], bool), np.argsort(sizes, kind="stable"), 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * sizes[order[end]] <= CELLS:
+                end += 1
+            some, at = order[at:end], end
+            if sizes[some].sum():
+                labels = self.forward(inputs([pages[i] for i in some], paths), sizes[some])[0] > 0
+                out[np.concatenate([np.arange(start[i], start[i + 1]) for i in some])] = labels
+        return out
 
 
 @lru_cache(1)
-def trained(pages: int = TRAINING_PAGES, rounds: int = 9, seed: int = 1) -> Labeller:
+def trained(pages: int = TRAINING_PAGES, rounds: int = 13, seed: int = 1) -> Labeller:
     """The labeller fitted by Adam to invented pages whose main text is known; the same for the same arguments."""
     paths, data = Paths(), []
     for n in range(pages):
@@ -165,7 +181,11 @@ def trained(pages: int = TRAINING_PAGES, rounds: int = 9, seed: int = 1) -> Labe
             some = [data[i] for i in order[at : at + 35]]
             sizes = np.array([len(p) for p, _ in some])
             y = np.concatenate([np.array(y, np.float32) for _, y in some])
-            grads, t = model.gradients(inputs([p for p, _ in some], paths), sizes, y), t + 1
+            x = inputs([p for p, _ in some], paths)
+            # early on, some pages lose part of their path items, so that words and shapes carry names never seen
+            dropped = (epoch < rounds - 3) & (r.random((len(some), PATH_DIM)) < LOST_ITEMS) & (r.random((len(some), 1)) < LOSING_PAGES)
+            x[:, :PATH_DIM] *= ~np.repeat(dropped, sizes, axis=0)
+            grads, t = model.gradients(x, sizes, y), t + 1
             rate = 0.02 if epoch < rounds - 3 else 0.005
             for k, g in grads.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -187,25 +207,29 @@ def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None =
     repeated rows are extracted alike; clashing ``text`` and ``n_chars``
     columns are replaced; an empty table gives an empty result.
 
-    One pass without a shuffle; a task holds BATCH_PAGES pages at a time.
+    One pass without a shuffle; a task holds BATCH_PAGES pages or BATCH_BYTES at a time.
     """
     names = [c for c in (keep or [c for c in pages.columns if c != html]) if c not in ("text", "n_chars")]
     held = pages.sparkSession.sparkContext.broadcast(trained())
     rows = pages.select(*names, F.col(html).cast("string").alias("_sw_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = Paths()
         for batch in batches:
             source = batch.column(batch.num_columns - 1)
-            for at in range(0, batch.num_rows, BATCH_PAGES):
-                part = batch.slice(at, BATCH_PAGES)
-                found = [blocks(h or "", paths) for h in source.slice(at, BATCH_PAGES).to_pylist()]
+            total = np.cumsum(pc.fill_null(pc.binary_length(source), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                end = int(np.searchsorted(total, (total[at - 1] if at else 0) + BATCH_BYTES, "right"))
+                end = max(at + 1, min(end, at + BATCH_PAGES))
+                paths = Paths()  # they grow with the pages
+                found = [blocks(h or "", paths) for h in source.slice(at, end - at).to_pylist()]
                 labels, texts, pos = held.value.label(found, paths), [], 0
                 for page in found:
                     texts.append("\n".join(t for (_, t), ok in zip(page, labels[pos : pos + len(page)], strict=True) if ok))
                     pos += len(page)
                 extra = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *extra], [*names, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, end - at).columns[:-1], *extra], [*names, "text", "n_chars"])
+                at = end
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     return rows.mapInArrow(run, ", ".join([*kinds, "text string", "n_chars long"]))
