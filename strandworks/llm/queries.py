@@ -127,5 +127,83 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+SUBSTRING_DEDUP_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), b AS (
+  SELECT rid, o, substr(h, 2 * o + 1, 1822) AS part FROM d, range(0, length(h) // 2 - 399, 512) t(o)
+), w AS (
+  SELECT rid, o + i AS i, md5(substr(part, 2 * i + 1, 800)) AS k FROM b, range(0, least(512, length(part) // 2 - 399)) t(i)
+), r AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1
+), g AS (
+  SELECT rid, i, sum(CASE WHEN i <= last + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS span
+  FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS last FROM r)
+), s AS (
+  SELECT rid, span, min(i) AS lo, max(i) + 400 AS hi FROM g GROUP BY rid, span
+), k AS (
+  SELECT rid, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed, max(hi) AS done,
+         string_agg(substr(h, 2 * last + 1, 2 * (lo - last)), '' ORDER BY lo) AS kept
+  FROM (SELECT s.*, h, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS last FROM s JOIN d USING (rid)) GROUP BY rid
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(done, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
+
+
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
+  FROM d, range(1, CASE WHEN len(w) = 1 THEN 2 ELSE len(w) END) t(i)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), t AS (
+  SELECT s.doc_id, g, n FROM s JOIN n USING (doc_id)
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), c AS (
+  SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a
+), l AS (
+  SELECT a AS doc_id, min(b) AS least_id FROM c GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least_id, doc_id)) AS component_id,
+       least(doc_id, coalesce(least_id, doc_id)) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+
+def secret_scan_sql() -> str:
+    """Gaps and matches of each kind alternate, so running sums of their lengths are the positions."""
+    kinds = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS place, '{r.kind}' AS kind, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS hits, "
+        f"regexp_extract_all(t, '{p}', {r.group}) AS keys, {r.least} AS least FROM d"
+        for k, r in enumerate(RULES)
+        for p in [r.pattern.replace("'", "''")]
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({kinds}),
+u AS (SELECT doc_id, place, kind, least, i, gaps[i] AS gap, hits[i] AS hit, keys[i] AS key FROM (SELECT *, generate_subscripts(hits, 1) AS i FROM m)),
+x AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, place ORDER BY i) AS stop FROM u),
+f AS (SELECT doc_id, {counts}, string_agg(kind || ':' || (stop - length(hit)) || ':' || stop, ',' ORDER BY stop - length(hit), place) AS spans
+      FROM x WHERE length(key) >= least GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL, "op9_top_k": TOP_K_SQL}
+    return {
+        "op2_substring_dedup": SUBSTRING_DEDUP_SQL,
+        "op3_line_dedup": LINE_DEDUP_SQL,
+        "op8_near_dedup": NEAR_DEDUP_SQL,
+        "op9_top_k": TOP_K_SQL,
+        "op10_secret_scan": secret_scan_sql(),
+    }
