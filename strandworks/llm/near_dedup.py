@@ -254,7 +254,8 @@ def near_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) ->
     inside = cut(classes.select("_sw_node", "_sw_n").join(labels, "_sw_node", "left").withColumn("_sw_comp", F.coalesce("_sw_comp", "_sw_node")))
     extent = inside.groupBy("_sw_comp").agg(F.count("*").alias("size"), F.min("_sw_n").alias("least"), F.max("_sw_n").alias("most"))
     extent = extent.where("size > 1")
-    rows = live.join(labels, "_sw_node", "left").withColumn("_sw_comp", F.coalesce("_sw_comp", "_sw_node")).join(extent, "_sw_comp", "left")
+    placed = labels.join(extent, "_sw_comp")
+    rows = live.join(placed, "_sw_node", "left").withColumn("_sw_comp", F.coalesce("_sw_comp", "_sw_node"))
     place = F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.col("_sw_comp").alias("main"), F.coalesce("least", "_sw_n").alias("least"), F.coalesce("most", "_sw_n").alias("most"))
     rows = rows.select("_sw_key", "_sw_node", "_sw_n", "_sw_comp", place.alias("place"))
     mixed = rows.groupBy("_sw_key").agg(F.max("place").alias("top"), F.min("_sw_comp").alias("c0"), F.max("_sw_comp").alias("c1")).where("c0 <> c1")

@@ -11,7 +11,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandworks.llm import decontaminate as decontamination
 from strandworks.llm import html_extract, quality, queries, secret_scan, sharding, topk
+from strandworks.llm import near_dedup as nd
+from strandworks.llm.common import LOWER, UPPER, ascii_lower
 from strandworks.llm.decontaminate import contaminated, decontaminate
 from strandworks.llm.html_blocks import Paths, blocks, bucket
 from strandworks.llm.html_pages import Maker
@@ -353,6 +356,38 @@ def test_html(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def unlike_pages(r, n):
+    """Pages of layouts and names that no training page has, with their paragraphs."""
+    words = lambda lo, hi: " ".join("".join(r.choices(["ba", "ke", "lo", "mi", "tu", "ren", "sta"], k=r.randint(1, 3))) for _ in range(r.randint(lo, hi)))
+    for k in range(n):
+        own = [words(8, 50).capitalize() + "." for _ in range(r.randint(2, 10))]
+        body, link = "".join(f"<p>{x}</p>" for x in own), lambda: f"<a href='x'>{words(1, 2)}</a>"
+        if k % 3 == 0:
+            page = f"<div class='vector-header'>{link()}<ul class='vector-menu'><li>{link()}</li><li>{link()}</li></ul></div><div class='mw-content-container'><div class='mw-content-ltr mw-parser-output'>{body}</div></div><div class='mw-footer-container'><ul><li>{words(5, 10)}.</li><li>{link()}</li></ul></div>"
+        elif k % 3 == 1:
+            page = f"<center><table border=1><tr><td bgcolor=#ccc>{link()} {link()} {link()}</td></tr><tr><td>{body}</td></tr><tr><td align=center><small>Copyright 2003 {words(1, 3)}</small></td></tr></table></center>"
+        else:
+            page = f"<div class='wrapper-x'><div class='hd'>{link()}</div><div class='bd'><div class='lft'>{body}</div><div class='rgt'><ul><li>{link()}</li><li>{link()}</li></ul></div></div><div class='ft'>&copy; {words(1, 3)}</div></div>"
+        yield f"<html><head><title>{words(1, 4)}</title></head><body>{page}</body></html>", own
+
+
+def test_html_of_unlike_layouts():
+    model, paths, hits, wrong, lost = html_extract.trained(), Paths(), 0, 0, 0
+    for page, own in unlike_pages(random.Random(5), 150):
+        found = blocks(page, paths)
+        taken = {t for (_, t), ok in zip(found, model.label([found], paths), strict=True) if ok}
+        hits, wrong, lost = hits + len(taken & set(own)), wrong + len(taken - set(own)), lost + len(set(own) - taken)
+    assert hits / (hits + wrong) > 0.95 and hits / (hits + lost) > 0.95
+
+
+def test_html_pages_of_any_length_together():
+    model, paths = html_extract.trained(), Paths()
+    pages = [blocks(Maker(n).page(), paths) for n in range(40)] + [[]]
+    pages.append(blocks("<article>" + "<p>some words stand here.</p>" * 30_000 + "</article>", paths))
+    alone = [model.label([p], paths) for p in pages]
+    assert (model.label(pages, paths) == np.concatenate(alone)).all() and alone[-1].mean() > 0.9
+
+
 def test_capitals_of_the_whole_block():
     paths = Paths()
     (path, _), = blocks("<p>text</p>", paths)
@@ -360,5 +395,73 @@ def test_capitals_of_the_whole_block():
     assert list(x[:, -1]) == [0.5, 0]
 
 
+def test_ascii_lower(spark):
+    letters = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c + "Az",) for c in letters], "t string")
+    assert df.where(ascii_lower(F.col("t")) != F.translate("t", UPPER, LOWER)).count() == 0
+
+
+def near_copies(seed, groups=2, each=70):
+    """Groups of texts at mixed distances from a middle one, where few pairs link and many nearly do."""
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    out = []
+    for _ in range(groups):
+        middle = r.choices(vocab, k=120)
+        for _ in range(each):
+            p = r.choice([0, 0.02, 0.04, 0.06, 0.1, 0.15])
+            out.append(" ".join(r.choice(vocab) if r.random() < p else w for w in middle))
+    return out
+
+
+def test_near_dedup_of_large_groups(spark, monkeypatch):
+    """Hub, component and bucket cells, each dealt out as a grid; repeated doc_ids; against all pairs."""
+    monkeypatch.setattr(nd, "CELL_SHINGLES", 2000)
+    texts = near_copies(3)
+    rows = list(enumerate(texts)) + [(5, texts[100]), (7, texts[130]), (5, texts[100]), (900, None), (901, ""), (902, "One"), (903, "one"), (None, texts[0])]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    sets = [(i, frozenset(tuple(words(t)[k : k + 2]) for k in range(max(1, len(words(t)) - 1))) if words(t) else frozenset()) for i, t in rows if i is not None]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = [(i, len(s), find(i), find(i) == i) for i, s in sets]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None) == sorted(want)
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+
+
+def test_decontamination_goes_through_the_blocks(spark, monkeypatch):
+    """Without an equal block nothing is found; a pair within the radius is taken in its first equal block."""
+    item = " ".join(f"q{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, "a b c " + item + " d e"), (2, "z " * 50)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert contaminated(docs, bench).count() == 1
+    monkeypatch.setattr(decontamination, "first_equal_block", lambda xor: F.lit(None).cast("int"))
+    assert contaminated(docs, bench).count() == 0
+
+
+def test_blocks_tile_the_bits(spark):
+    parts = decontamination.blocks()
+    assert sum(((1 << w) - 1) << at for at, w in parts) == (1 << 64) - 1 and len(parts) == decontamination.RADIUS + 1
+    rows = [(1 << 63) - 1, 0, -1, -(1 << 63), 5]
+    df = spark.createDataFrame([(x,) for x in rows], "x long").select("x", decontamination.first_equal_block(F.col("x")).alias("b"))
+    for x, b in df.collect():
+        assert b == next((i for i, (at, w) in enumerate(parts) if not (x >> at) & ((1 << w) - 1)), None)
+
+
+def test_bags_count_repeats(spark):
+    df = spark.createDataFrame([([3, 1, 3, 2, 3],), ([3, 2, 3, 9],)], "h array<long>")
+    a, b = (set(r.x) for r in decontamination.with_bag(df, "h", "x").collect())
+    assert len(a) == 5 and len(b) == 4 and len(a & b) == 3
+
+
 def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
