@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import heapq
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,16 +16,31 @@ from strandworks.operators.components import components
 from strandworks.scratch import cut
 
 
+def masked_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Edit distance of each pair, in which any pairing with N costs one half, N with N included.
+
+    One row of the table of all pairs at a time, in half units; gaps along the
+    row are a running minimum.
+    """
+    la, lb = np.array([len(x) for x in a], int), np.array([len(x) for x in b], int)
+    x, y = (np.array([list(t.ljust(n)) for t in side], "U1").reshape(len(side), n) for side, n in ((a, la.max(initial=0)), (b, lb.max(initial=0))))
+    step = 2 * np.arange(y.shape[1] + 1)
+    row = np.repeat(step[None], len(a), axis=0)
+    out = row[np.arange(len(a)), lb].astype(float)
+    for i in range(x.shape[1]):
+        seen = x[:, i : i + 1]
+        cost = np.where((seen == "N") | (y == "N"), 1, 2 * (seen != y))
+        new = row + 2
+        new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + cost)
+        row = np.minimum.accumulate(new - step, axis=1) + step
+        ended = la == i + 1
+        out[ended] = row[ended, lb[ended]]
+    return out / 2
+
+
 def masked_distance(a: str, b: str) -> float:
-    """Edit distance in which any pairing with N costs one half, N with N included."""
-    last = [2 * j for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        row = [2 * i]
-        for j, y in enumerate(b, 1):
-            cost = 1 if x == "N" or y == "N" else 2 * (x != y)
-            row.append(min(last[j - 1] + cost, last[j] + 2, row[-1] + 2))
-        last = row
-    return last[-1] / 2
+    """The distance of one pair."""
+    return float(masked_distances([a], [b])[0])
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -30,11 +48,40 @@ def distance(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def _masked(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([masked_distance(p, q) for p, q in zip(x, y, strict=True)])
+        return pd.Series(masked_distances(x.tolist(), y.tolist()), dtype=float)
 
     return F.when(~a.contains("N") & ~b.contains("N"), F.levenshtein(a, b).cast("double")).otherwise(_masked(a, b))
 
 
+def near_texts(texts: DataFrame, limits: dict[str, int], payload: list[str]) -> DataFrame:
+    """Pairs of distinct identifiers of a ``pre_group`` within the limits, each pair once, one with itself included.
+
+    Lengths that differ by more than the limit can not be near, so pairs meet
+    on their length. Only pairs with an N leave the JVM. ``payload`` columns
+    come back as ``<name>_a`` and ``<name>_b``.
+    """
+    k1 = limits["umi1"]
+    side = lambda s: [F.col(n).alias(f"{n}_{s}") for n in [*limits, *payload]]
+    left = texts.withColumn("_len", F.explode(F.sequence(F.char_length("umi1") - k1, F.char_length("umi1") + k1)))
+    left = left.select("pre_group", "_len", *side("a"))
+    right = texts.select("pre_group", F.char_length("umi1").alias("_len"), *side("b"))
+    order = lambda s: F.struct(*[F.col(f"{n}_{s}") for n in limits])
+    pairs = left.join(right, ["pre_group", "_len"]).where(order("a") <= order("b"))
+    for n, k in limits.items():
+        a, b = F.col(f"{n}_a"), F.col(f"{n}_b")
+        plain = ~a.contains("N") & ~b.contains("N")
+        # the bounded built-in gives -1 beyond the limit
+        pairs = pairs.where(~plain | (F.levenshtein(a, b, k) >= 0))
+    for n, k in limits.items():
+        a, b = F.col(f"{n}_a"), F.col(f"{n}_b")
+        pairs = pairs.where(distance(a, b) <= k)
+    return pairs
+
+
+def _limits(threshold1: float, threshold2: float | None) -> dict[str, int]:
+    return {"umi1": math.floor(threshold1)} | ({"umi2": math.floor(threshold2)} if threshold2 is not None else {})
+
+
 def neighbours(umis: DataFrame, threshold1: float = 3, threshold2: float | None = None) -> DataFrame:
     """Pairs ``(pre_group, a, b)`` of read_idx within the thresholds, both orders and a read with itself included.
 
@@ -44,85 +91,92 @@ def neighbours(umis: DataFrame, threshold1: float = 3, threshold2: float | None
     Thresholds are floored. A read is its own neighbour unless its Ns put it
     beyond the threshold.
     """
-    k1 = math.floor(threshold1)
-    names = ["umi1"] + ["umi2"] * (threshold2 is not None)
-    texts = umis.groupBy("pre_group", *names).agg(F.collect_list("read_idx").alias("reads"))
-    left = texts.withColumn("_len", F.char_length("umi1")).withColumn("_near", F.explode(F.sequence(F.col("_len") - k1, F.col("_len") + k1)))
-    left = left.select("pre_group", *[F.col(n).alias(f"{n}_a") for n in names], F.col("reads").alias("reads_a"), F.col("_near").alias("_len"))
-    right = texts.select("pre_group", *[F.col(n).alias(f"{n}_b") for n in names], F.col("reads").alias("reads_b"), F.char_length("umi1").alias("_len"))
-    pairs = left.join(right, ["pre_group", "_len"]).where(F.col("umi1_a") <= F.col("umi1_b"))
-    limits = {"umi1": k1} | ({"umi2": math.floor(threshold2)} if threshold2 is not None else {})
-    for n, k in limits.items():
-        a, b = F.col(f"{n}_a"), F.col(f"{n}_b")
-        plain = ~a.contains("N") & ~b.contains("N")
-        # the bounded built-in gives -1 beyond the limit
-        pairs = pairs.where(~plain | (F.levenshtein(a, b, k) >= 0)).where(distance(a, b) <= k)
+    limits = _limits(threshold1, threshold2)
+    texts = umis.groupBy("pre_group", *limits).agg(F.collect_list("read_idx").alias("reads"))
+    pairs = near_texts(texts, limits, ["reads"])
     flat = pairs.select("pre_group", F.explode("reads_a").alias("a"), "reads_b").select("pre_group", "a", F.explode("reads_b").alias("b"))
     return flat.unionByName(flat.select("pre_group", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def greedy_clusters(links: dict[int, set[int]]) -> list[list[int]]:
-    """Star clusters: lone nodes first, then again and again the node with the most free neighbours, the largest of equals."""
+def greedy_clusters(links: dict[int, set[int]], weight: dict[int, int] | None = None, last: dict[int, int] | None = None) -> list[list[int]]:
+    """Star clusters: lone nodes first, then again and again the node with the most free neighbours, the largest of equals.
+
+    A node may stand for ``weight`` equal reads, of which ``last`` is the
+    largest: they have the same neighbours and are always taken together.
+    """
+    weight, last = weight or dict.fromkeys(links, 1), last or {n: n for n in links}
     out = [[n] for n, near in sorted(links.items()) if near <= {n}]
     free = {n for n, near in links.items() if not near <= {n}}
-    buckets: dict[int, set[int]] = {}
-    count = {n: len(links[n] & free) for n in free}
-    for n, c in count.items():
-        buckets.setdefault(c, set()).add(n)
-    top = max(buckets, default=0)
+    count = {n: sum(weight[m] for m in links[n] & free) for n in free}
+    # entries with an outdated count are skipped when they come up; counts only fall
+    heap = [(-c, -last[n], n) for n, c in count.items()]
+    heapq.heapify(heap)
     while free:
-        while not buckets.get(top):
-            top -= 1
-        centre = max(buckets[top])
+        c, _, centre = heapq.heappop(heap)
+        if centre not in free:
+            continue
+        if -c != count[centre]:
+            heapq.heappush(heap, (-count[centre], -last[centre], centre))
+            continue
         members = (links[centre] & free) | {centre}
         out.append(sorted(members))
         free -= members
-        for m in members:
-            buckets[count[m]].discard(m)
         for m in members:
             for other in links[m] & free:
-                buckets[count[other]].discard(other)
-                count[other] -= 1
-                buckets.setdefault(count[other], set()).add(other)
+                count[other] -= weight[m]
     return out
 
 
-def cluster_links(links: DataFrame) -> DataFrame:
-    """``cluster_id, read_idx``: greedy star clusters of each connected component.
+def cluster_texts(pairs: DataFrame) -> DataFrame:
+    """``node, cluster_id``: greedy star clusters of the pairs ``node_a, node_b`` with ``weight_``, ``last_`` of each end.
 
-    Components do not touch, so they are clustered on their own; a cluster is
-    named after its smallest read. A read without any neighbour, itself
-    included, must be in ``links`` with b null and is a cluster of its own.
+    Nodes stand for the reads of one identifier and are named after the
+    smallest. Connected components do not touch, so they are clustered on
+    their own; a node that is paired with itself alone needs no Python.
     """
-    real = links.where("b is not null").select("a", "b")
-    labels = components(real)
-    rows = real.join(labels.toDF("a", "comp"), "a")
+    pairs = cut(pairs)
+    labels = components(pairs.where("node_a <> node_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    rows = pairs.join(labels.toDF("node_a", "comp"), "node_a")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, set[int]] = {}
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            near.setdefault(int(a), set()).add(int(b))
-        return pd.DataFrame([(c[0], n) for c in greedy_clusters(near) for n in c], columns=["cluster_id", "read_idx"])
+        weight: dict[int, int] = {}
+        last: dict[int, int] = {}
+        for a, b, wa, wb, ta, tb in zip(*(pdf[f"{n}_{s}"].tolist() for n in ("node", "weight", "last") for s in "ab"), strict=True):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+            weight |= {a: wa, b: wb}
+            last |= {a: ta, b: tb}
+        return pd.DataFrame([(n, c[0]) for c in greedy_clusters(near, weight, last) for n in c], columns=["node", "cluster_id"])
 
-    # components of one read need no Python
-    lone = links.select("a").distinct().join(real.where("a <> b").select("a").distinct(), "a", "left_anti")
-    many = rows.join(lone, "a", "left_anti").groupBy("comp").applyInPandas(run, "cluster_id long, read_idx long")
-    return many.unionByName(lone.select(F.col("a").cast("long").alias("cluster_id"), F.col("a").cast("long").alias("read_idx")))
+    many = rows.groupBy("comp").applyInPandas(run, "node long, cluster_id long")
+    alone = pairs.where("node_a = node_b").select(F.col("node_a").alias("node")).join(labels, "node", "left_anti")
+    return many.unionByName(alone.select("node", F.col("node").alias("cluster_id")))
 
 
 def umi_group(reads: DataFrame, threshold1: float = 3, threshold2: float | None = None, max_error: float | None = None, kind: str = "phred") -> DataFrame:
     """Clusters reads within their ``pre_group`` (all in one where the column is absent).
 
     With ``max_error``, ``umi1`` (and ``umi2``) are masked by ``qual1`` (``qual2``) first.
+    Equal identifiers are one node with a weight, so m equal reads make one
+    row and not m * m. A read whose identifier is null is a cluster of its
+    own; null groups are one group.
     """
     df = reads if "pre_group" in reads.columns else reads.withColumn("pre_group", F.lit(""))
-    names = ["umi1"] + ["umi2"] * (threshold2 is not None)
+    limits = _limits(threshold1, threshold2)
     if max_error is not None:
-        df = df.withColumns({n: S.quality_mask(F.col(n), F.col(n.replace("umi", "qual")), max_error, kind) for n in names})
-    df = cut(df.select("read_idx", "pre_group", *names))
-    near = neighbours(df, threshold1, threshold2).select("a", "b")
-    alone = df.select(F.col("read_idx").alias("a")).join(near.select("a").distinct(), "a", "left_anti")
-    return cluster_links(cut(near.unionByName(alone.withColumn("b", F.lit(None).cast("long")))))
+        df = df.withColumns({n: S.quality_mask(F.col(n), F.col(n.replace("umi", "qual")), max_error, kind) for n in limits})
+    group = F.coalesce(F.concat(F.lit("="), F.col("pre_group")), F.lit(""))
+    df = cut(df.select(F.col("read_idx").cast("long").alias("read_idx"), group.alias("pre_group"), *limits))
+    # an N costs one half even against itself, so many of them put a read beyond the limit from all, itself included
+    masks = {n: (F.char_length(n) - F.char_length(F.replace(F.col(n), F.lit("N"), F.lit("")))) / 2 for n in limits}
+    beyond = functools.reduce(lambda x, y: x | y, [masks[n].isNull() | (masks[n] > k) for n, k in limits.items()])
+    texts = df.where(~beyond).groupBy("pre_group", *limits)
+    texts = cut(texts.agg(F.min("read_idx").alias("node"), F.max("read_idx").alias("last"), F.count("*").alias("weight")))
+    clusters = cluster_texts(near_texts(texts, limits, ["node", "last", "weight"]))
+    named = texts.join(clusters, "node").select("pre_group", *limits, "cluster_id")
+    grouped = df.where(~beyond).join(named, ["pre_group", *limits]).select("cluster_id", "read_idx")
+    return grouped.unionByName(df.where(beyond).select(F.col("read_idx").alias("cluster_id"), "read_idx"))
 
 
 def expected_distances(seqs: DataFrame, max_error: float | None = None, kind: str = "phred") -> DataFrame:

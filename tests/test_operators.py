@@ -13,6 +13,7 @@ from strandworks.operators import errors as E
 from strandworks.operators import msa as M
 from strandworks.operators import statistics as T
 from strandworks.operators import umi as U
+from strandworks.operators.components import components
 from strandworks.sources import fastq, sam
 
 
@@ -167,6 +168,47 @@ def test_umis(spark):
     assert sorted(map(sorted, U.greedy_clusters(near))) == sorted(plain_greedy(near))
 
 
+def test_umis_with_nulls_and_repeats(spark):
+    rows = [(1, None, "ACGT"), (2, None, "ACGT"), (3, "g", None), (4, "g", "NNNN"), (5, "g", "ACGT"), (6, "g", "ACGA"), (7, "g", "ACGT"), (8, "h", "")]
+    got = {r.read_idx: r.cluster_id for r in U.umi_group(spark.createDataFrame(rows, "read_idx long, pre_group string, umi1 string"), 1).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, 7: 5, 8: 8}
+    assert U.umi_group(spark.createDataFrame(rows[:1], "read_idx long, pre_group string, umi1 string").limit(0), 1).count() == 0
+
+
+def test_masked_distances_of_many_pairs():
+    r = random.Random(4)
+    a, b = (["".join(r.choices("ACGTN", k=r.randint(0, 9))) for _ in range(200)] for _ in "ab")
+
+    def plain(x, y):
+        last = [float(j) for j in range(len(y) + 1)]
+        for i, p in enumerate(x, 1):
+            row = [float(i)]
+            for j, q in enumerate(y, 1):
+                row.append(min(last[j - 1] + (0.5 if "N" in (p, q) else p != q), last[j] + 1, row[-1] + 1))
+            last = row
+        return last[-1]
+
+    assert U.masked_distances(a, b).tolist() == [plain(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_components_by_rounds_and_in_one_task(spark):
+    r = random.Random(8)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {x: find(x) for p in pairs if p[0] != p[1] for x in p}
+    for small in (0, 20, 10_000):
+        assert {x.node: x.comp for x in components(edges, small).collect()} == want
+
+
 def plain_greedy(links):
     out = [[n] for n in links if links[n] <= {n}]
     free = {n for n in links if not links[n] <= {n}}
