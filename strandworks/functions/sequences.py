@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,6 +60,20 @@ def bases(seq: Column) -> Column:
     return F.filter(F.split(seq, ""), lambda x: x != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, however often and in whatever lambda it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def runs(items: Column, letter: Callable[[Column], Column]) -> Column:
+    """Maximal runs of items of equal ``letter``: an array of ``start, width, base``."""
+    at = F.transform(items, lambda x, i: F.struct((i + 1).alias("start"), letter(x).alias("base")))
+    first = lambda a: F.filter(a, lambda x: (x["start"] == 1) | (F.get(a, x["start"] - 2)["base"] != x["base"]))
+    width = lambda f, x, k: F.coalesce(F.get(f, k + 1)["start"], F.size(items) + 1) - x["start"]
+    spread = lambda f: F.transform(f, lambda x, k: F.struct(x["start"].alias("start"), width(f, x, k).alias("width"), x["base"].alias("base")))
+    return let(let(at, first), spread)
+
+
 def quality_mask(seq: Column, qual: Column, max_error: float | None, kind: str = "phred") -> Column:
     """Bases whose error exceeds ``max_error`` become N; None leaves the sequence as it is."""
     if max_error is None:
@@ -74,15 +89,9 @@ def quality_mask(seq: Column, qual: Column, max_error: float | None, kind: str =
 def unmask(aligned: Column, original: Column) -> Column:
     """Puts the original bases back for N in a gapped sequence."""
     plain = F.regexp_replace(aligned, "-", "")
-    step = F.aggregate(
-        bases(aligned),
-        F.struct(F.lit(0).alias("n"), F.lit("").alias("s")),
-        lambda a, b: F.struct(
-            (a["n"] + (b != "-").cast("int")).alias("n"),
-            F.concat(a["s"], F.when(b.isin("N", "n"), F.substring(original, a["n"] + 1, F.lit(1))).otherwise(b)).alias("s"),
-        ),
-        lambda a: a["s"],
-    )
+    restored = F.zip_with(bases(plain), bases(original), lambda a, b: F.when(a.isin("N", "n"), b).otherwise(a))
+    # the runs of gaps before each base and at the end
+    step = F.array_join(F.zip_with(F.split(aligned, "[^-]"), restored, lambda gaps, b: F.concat(gaps, F.coalesce(b, F.lit("")))), "")
     bad = F.char_length(plain) != F.char_length(original)
     differs = F.exists(
         F.zip_with(bases(plain), bases(original), lambda a, b: ~a.isin("N", "n") & (F.upper(a) != F.upper(b))), lambda x: x
@@ -98,14 +107,10 @@ def trim(seq: Column, start: Column, end: Column) -> Column:
     return F.substring(seq, start, F.greatest(end - start + 1, F.lit(0)))
 
 
-def scramble_order(key: Column, n: Column, seed: int) -> Column:
-    """A permutation of 1..n that depends on the key and seed alone, so retries agree."""
-    drawn = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(key, i, F.lit(seed)).alias("h"), i.alias("i")))
-    return F.when(n > 0, F.transform(F.array_sort(drawn), lambda s: s["i"])).otherwise(F.array().cast("array<int>"))
-
-
-def permuted(text: Column, order: Column) -> Column:
-    return F.array_join(F.transform(order, lambda i: F.substring(text, i, F.lit(1))), "")
+def scrambled(text: Column, key: Column, seed: int) -> Column:
+    """The letters in an order that depends on the key, the seed and the length alone, so retries and qualities agree."""
+    drawn = F.transform(bases(text), lambda x, i: F.struct(F.xxhash64(key, i, F.lit(seed)).alias("h"), i.alias("i"), x.alias("x")))
+    return F.array_join(F.transform(F.array_sort(drawn), lambda s: s["x"]), "")
 
 
 def _total(numbers: Column) -> Column:

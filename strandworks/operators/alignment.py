@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandworks.functions import sequences as S
+from strandworks.scratch import cut
 
 from . import kernel as K
 
@@ -222,32 +224,50 @@ def _sections(adaptor: str, sections: list[tuple[int, int]], seq: Column, qual:
 def scrambled(reads: DataFrame, seed: int = 0, columns: tuple[str, str] = ("seq", "qual")) -> DataFrame:
     """Each read's bases in random order, qualities moved along; the same on every retry."""
     seq, qual = columns
-    df = reads.withColumn("_order", S.scramble_order(F.col("read_idx"), F.char_length(seq), seed))
-    return df.withColumns({c: S.permuted(F.col(c), F.col("_order")) for c in (seq, qual)}).drop("_order")
+    return reads.withColumns({c: S.scrambled(F.col(c), F.col("read_idx"), seed) for c in (seq, qual)})
 
 
 def tune_scores(reads: DataFrame, p: AlignParams, openings: range, extensions: range, seed: int = 0) -> DataFrame:
-    """Scores of the reads and of their scrambled ends for every pair of gap costs: ``go, ge, fake, score``."""
+    """Scores of the reads and of their scrambled ends for every pair of gap costs: ``go, ge, fake, score``.
+
+    The better strand of each read counts, negative scores as 0. Every read
+    goes through the whole grid in one pass.
+    """
     ends = windows(reads, p.tolerance).select("read_idx", "_front", "_front_q", "_back", "_back_q")
     fake = scrambled(scrambled(ends, seed, ("_front", "_front_q")), seed + 1, ("_back", "_back_q"))
     both = ends.withColumn("fake", F.lit(False)).unionByName(fake.withColumn("fake", F.lit(True)))
-    out = None
-    for go in openings:
-        for ge in extensions:
-            s = strand_scores(both, replace(p, opening=go, extension=ge))
-            zero = F.lit(0.0)
-            add = lambda a, b: F.greatest(F.col(a), zero) + F.greatest(F.col(b), zero)
-            total = F.when(F.col("reversed"), add("_rs", "_re")).otherwise(add("_fs", "_fe"))
-            rows = s.select(F.lit(go).alias("go"), F.lit(ge).alias("ge"), "fake", total.alias("score"))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    grid = [replace(p, opening=go, extension=ge) for go in openings for ge in extensions]
+    first, second = p.adaptor1.upper(), p.adaptor2.upper()
+
+    @F.pandas_udf("array<double>")
+    def run(f: pd.Series, fq: pd.Series, b: pd.Series, bq: pd.Series) -> pd.Series:
+        front, back = (f.tolist(), fq.tolist()), (b.tolist(), bq.tolist())
+        table = []
+        for g in grid:
+            one = lambda ref, side: np.maximum(K.scores(ref, *side, g.settings), 0)  # noqa: B023, E731
+            table.append(np.maximum(one(first, front) + one(second, back), one(first, back) + one(second, front)))
+        return pd.Series(list(np.array(table).reshape(len(grid), len(f)).T))
+
+    # a sample may lie in one partition, and one read stands for a whole grid
+    spread = both.repartition(max(1, len(grid)), "read_idx", "fake")
+    costs = F.array(*[F.struct(F.lit(g.opening).alias("go"), F.lit(g.extension).alias("ge")) for g in grid])
+    rows = spread.select("fake", F.explode(F.arrays_zip(costs.alias("g"), run("_front", "_front_q", "_back", "_back_q").alias("s"))).alias("x"))
+    return rows.select("x.g.go", "x.g.ge", "fake", F.col("x.s").alias("score"))
+
+
+def tuned(reads: DataFrame, p: AlignParams, openings: range = range(4, 11), extensions: range = range(1, 6), number: int = 10000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """:func:`tune_alignment` and the scores ``fake, score`` at the gap costs chosen."""
+    from .statistics import tied_overlap
+
+    sample = reads.orderBy(F.xxhash64("read_name", F.lit(seed)), "read_idx").limit(number)
+    scores = cut(tune_scores(sample, p, openings, extensions, seed))
+    table = tied_overlap(scores, ["go", "ge"])
+    best = F.max(F.struct("overlap", (-F.col("go")).alias("g"), (-F.col("ge")).alias("e")))
+    found = cut(table.where("overlap > 0").agg(best.alias("b")).select((-F.col("b.g")).alias("go"), (-F.col("b.e")).alias("ge"), F.col("b.overlap").alias("overlap")))
+    chosen = scores.join(F.broadcast(found.select("go", "ge")), ["go", "ge"])  # one row on the right
+    return found, chosen.select("fake", "score")
 
 
 def tune_alignment(reads: DataFrame, p: AlignParams, openings: range = range(4, 11), extensions: range = range(1, 6), number: int = 10000, seed: int = 0) -> DataFrame:
     """The gap costs that separate reads from scrambled reads best; the first of equals. No reads give nulls."""
-    from .statistics import tied_overlap
-
-    sample = reads.orderBy(F.xxhash64("read_name", F.lit(seed))).limit(number)
-    table = tied_overlap(tune_scores(sample, p, openings, extensions, seed), ["go", "ge"])
-    best = F.max(F.struct("overlap", (-F.col("go")).alias("g"), (-F.col("ge")).alias("e")))
-    return table.where("overlap > 0").agg(best.alias("b")).select((-F.col("b.g")).alias("go"), (-F.col("b.e")).alias("ge"), F.col("b.overlap").alias("overlap"))
+    return tuned(reads, p, openings, extensions, number, seed)[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandworks.functions import sequences as S
@@ -19,18 +19,20 @@ def columns_of(msa: DataFrame, with_quality: bool, kind: str = "phred") -> DataF
     aln = F.when(bad, F.raise_error(F.lit("alignment rows of unequal width"))).otherwise(F.col("aln"))
     df = msa.withColumn("aln", aln).select("group_id", F.size("aln").alias("n_rows"), F.posexplode_outer("aln").alias("row", "s"), *["quals"] * with_quality)
     df = df.where("s is not null")
-    df = df.select("group_id", "n_rows", "row", F.posexplode_outer(S.bases(F.col("s"))).alias("pos", "base"), *([F.get("quals", "row").alias("q"), "s"] if with_quality else []))
-    df = df.where("base is not null")
+    letters = F.transform(S.bases(F.col("s")), lambda x, i: F.struct(i.alias("pos"), x.alias("base")))
     if not with_quality:
+        df = df.select("group_id", "n_rows", "row", F.inline(letters))
         known = F.col("base").isin(*BASES, "N", "-")
         return df.withColumn("base", F.when(known, F.col("base")).otherwise(F.raise_error(F.concat(F.lit("unknown character in alignment: "), "base"))))
-    short = F.char_length(F.regexp_replace("s", "-", "")) != F.char_length("q")
-    nth = F.sum((F.col("base") != "-").cast("int")).over(Window.partitionBy("group_id", "row").orderBy("pos"))
-    df = df.withColumn("nth", nth)
-    error = S.error_of(F.substring(F.col("q"), F.col("nth"), F.lit(1)), kind)
-    e = F.when(F.col("base") != "-", F.greatest(F.least(error, F.lit(1 - CLIP)), F.lit(CLIP)))
-    checked = F.when(short, F.raise_error(F.lit("quality and alignment differ in length")).cast("double")).otherwise(e)
-    return df.withColumn("e", checked).drop("q", "s", "nth")
+    df = df.withColumn("q", F.get("quals", "row"))
+    short = F.coalesce(F.char_length(F.regexp_replace("s", "-", "")) != F.char_length("q"), F.lit(True))
+    q = F.when(short, F.raise_error(F.lit("quality and alignment differ in length"))).otherwise(F.col("q"))
+    cell = lambda x, q: F.struct(x["pos"].alias("pos"), x["base"].alias("base"), q.alias("q"))
+    seen = F.zip_with(F.filter(letters, lambda x: x["base"] != "-"), S.bases(q), cell)
+    gaps = F.transform(F.filter(letters, lambda x: x["base"] == "-"), lambda x: cell(x, F.lit(None).cast("string")))
+    df = df.select("group_id", "n_rows", "row", F.inline(F.concat(seen, gaps)))
+    e = F.when(F.col("base") != "-", F.greatest(F.least(S.error_of(F.col("q"), kind), F.lit(1 - CLIP)), F.lit(CLIP)))
+    return df.withColumn("e", e).drop("q")
 
 
 def assembled(picked: DataFrame, groups: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandworks.functions import sequences as S
@@ -10,44 +12,42 @@ from strandworks.functions import sequences as S
 BASES = "ACGT"
 
 
-def aligned_columns(pairs: DataFrame) -> DataFrame:
-    """One row per alignment column: ``read_idx, col, ref, obs, pos``; pos counts reference bases before the column."""
+def _aligned(pairs: DataFrame, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the letters of both strings; strings of unequal length are an error."""
     equal = F.char_length("ref_aln") == F.char_length("read_aln")
     ref = F.when(equal, F.col("ref_aln")).otherwise(F.raise_error(F.lit("aligned strings of unequal length")))
-    df = pairs.withColumn("_ref", ref).withColumns({"_a": S.bases(F.col("_ref")), "_b": S.bases(F.col("read_aln"))})
-    both = F.zip_with("_a", "_b", lambda a, b: F.struct(a.alias("ref"), b.alias("obs")))
-    df = df.select("read_idx", F.posexplode(both).alias("col", "x")).select("read_idx", "col", "x.ref", "x.obs")
-    seen = F.sum((F.col("ref") != "-").cast("int")).over(Window.partitionBy("read_idx").orderBy("col"))
-    return df.withColumn("pos", F.when(F.col("ref") != "-", seen - 1).otherwise(seen))
-
-
-def _reference(pairs: DataFrame) -> DataFrame:
-    """The ungapped reference of the lowest read_idx: ``base`` and 1-based ``pos``, and one row past its end."""
-    first = pairs.agg(F.min_by("ref_aln", "read_idx").alias("r")).select(F.regexp_replace("r", "-", "").alias("r"))
-    spots = F.sequence(F.lit(1), F.char_length("r") + 1)
-    return first.where("r is not null").select(F.explode(spots).alias("pos"), "r").select("pos", F.nullif(F.substring("r", F.col("pos"), F.lit(1)), F.lit("")).alias("base"))
+    return S.let(S.bases(ref), lambda a: S.let(S.bases(F.col("read_aln")), lambda b: body(a, b)))
 
 
 def error_profile(pairs: DataFrame) -> DataFrame:
     """Per reference position (and one past the end) what was read, and the lengths inserted before it.
 
     ``insertion`` lists (length, reads), length 0 for the reads without one.
+    Each row is taken apart on its own: what was read at each reference base,
+    and the run of reference gaps before it. Counts are combined before they
+    are shuffled. References that differ are an error; rows with a null string
+    are left out.
     """
-    c = aligned_columns(pairs)
-    fine = F.col("obs").isin(*BASES, "-")
-    obs = F.when(fine, F.col("obs")).otherwise(F.raise_error(F.concat(F.lit("unknown character in alignment: "), "obs")))
-    seen = c.where("ref <> '-'").withColumn("obs", obs).groupBy((F.col("pos") + 1).alias("pos"))
-    seen = seen.agg(*[F.count_if(F.col("obs") == b).alias(b) for b in BASES], F.count_if(F.col("obs") == "-").alias("deletion"))
-    runs = c.where("ref = '-'").groupBy("read_idx", "pos").agg(F.count("*").alias("len"))
-    hist = runs.groupBy((F.col("pos") + 1).alias("pos"), "len").agg(F.count("*").alias("freq"))
-    hist = hist.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct(F.col("len").cast("int").alias("len"), "freq"))).alias("h"), F.sum("freq").alias("n_ins"))
-    total = pairs.agg(F.count("*").alias("total"))
-    out = _reference(pairs).alias("r").join(seen, "pos", "full").join(hist, "pos", "left").crossJoin(F.broadcast(total))  # one row on the right
-    past = F.col("base").isNull() & F.col("deletion").isNotNull()
-    none = F.struct(F.lit(0).alias("len"), (F.col("total") - F.coalesce("n_ins", F.lit(0))).alias("freq"))
-    insertion = F.concat(F.array(none), F.coalesce("h", F.array().cast("array<struct<len:int,freq:bigint>>")))
-    base = F.when(past, F.raise_error(F.lit("reference sequence should be the same for all alignments"))).otherwise(F.col("base"))
-    return out.select("pos", base.alias("base"), *BASES, "deletion", F.filter(insertion, lambda x: x["freq"] > 0).alias("insertion"))
+    spots = _aligned(pairs, lambda a, b: F.zip_with(
+        F.filter(F.zip_with(a, b, lambda x, y: F.struct(x.alias("ref"), y.alias("obs"))), lambda x: x["ref"] != "-"),
+        F.transform(F.split("ref_aln", "[^-]"), F.char_length),
+        lambda x, n: F.struct(x["ref"].alias("ref"), x["obs"].alias("obs"), n.alias("len")),
+    ))
+    c = pairs.where("ref_aln is not null and read_aln is not null").select(F.posexplode(spots).alias("at", "x"))
+    c = c.select((F.col("at") + 1).alias("pos"), "x.ref", "x.obs", "x.len")
+    fine = F.col("obs").isNull() | F.col("obs").isin(*BASES, "-")
+    c = c.withColumn("obs", F.when(fine, F.col("obs")).otherwise(F.raise_error(F.concat(F.lit("unknown character in alignment: "), "obs"))))
+    read = {**{b: b for b in BASES}, "deletion": "-"}
+    c = c.groupBy("pos", "len").agg(
+        *[F.count_if(F.col("obs") == b).alias(n) for n, b in read.items()], F.count("ref").alias("_bases"), F.count("*").alias("freq"), F.min("ref").alias("_low"), F.max("ref").alias("_high")
+    )
+    c = c.groupBy("pos").agg(
+        *[F.sum(n).alias(n) for n in read], F.sum("_bases").alias("_bases"), F.sum("freq").alias("_all"), F.min("_low").alias("_low"), F.max("_high").alias("_high"),
+        F.sort_array(F.collect_list(F.struct("len", "freq"))).alias("insertion"),
+    )
+    unlike = (F.col("_low") != F.col("_high")) | ((F.col("_bases") > 0) & (F.col("_bases") < F.col("_all")))
+    base = F.when(unlike, F.raise_error(F.lit("reference sequence should be the same for all alignments"))).otherwise(F.col("_low"))
+    return c.select("pos", base.alias("base"), *[F.when(F.col("_bases") > 0, F.col(n)).alias(n) for n in read], "insertion")
 
 
 def transitions(profile: DataFrame) -> DataFrame:
@@ -56,14 +56,9 @@ def transitions(profile: DataFrame) -> DataFrame:
 
 
 def homopolymers(seqs: DataFrame, key: str = "read_idx", seq: str = "seq") -> DataFrame:
-    """Runs of two or more equal letters after gaps are taken out: ``key, start, width, base``."""
-    plain = F.regexp_replace(seq, "-", "")
-    df = seqs.select(key, F.posexplode(S.bases(plain)).alias("pos", "base"))
-    w = Window.partitionBy(key).orderBy("pos")
-    new = F.coalesce((F.lag("base").over(w) != F.col("base")).cast("int"), F.lit(1))
-    df = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
-    runs = df.groupBy(key, "_run").agg((F.min("pos") + 1).alias("start"), F.count("*").cast("int").alias("width"), F.first("base").alias("base"))
-    return runs.where("width > 1").drop("_run")
+    """Runs of two or more equal letters after gaps are taken out: ``key, start, width, base``. No shuffle."""
+    runs = S.let(S.bases(F.regexp_replace(seq, "-", "")), lambda b: S.runs(b, lambda x: x))
+    return seqs.select(key, F.inline(F.filter(runs, lambda r: r["width"] > 1)))
 
 
 def match_homopolymers(pairs: DataFrame) -> DataFrame:
@@ -71,27 +66,42 @@ def match_homopolymers(pairs: DataFrame) -> DataFrame:
 
     A read run is looked for in the columns of the reference run and the gap
     columns at both sides; gaps inside a read run do not break it. 0 if none.
+    Rows with a null string give nothing. No shuffle.
     """
-    c = aligned_columns(pairs)
-    by = Window.partitionBy("read_idx").orderBy("col")
-    ref = c.where("ref <> '-'")
-    new = F.coalesce((F.lag("ref").over(by) != F.col("ref")).cast("int"), F.lit(1))
-    ref = ref.withColumn("_new", new).withColumn("_run", F.sum("_new").over(by))
-    runs = ref.groupBy("read_idx", "_run").agg(
-        F.min("col").alias("left"), F.max("col").alias("right"), (F.min("pos") + 1).alias("start"), F.count("*").cast("int").alias("width"), F.first("ref").alias("base")
-    )
-    near = Window.partitionBy("read_idx").orderBy("_run")
-    runs = runs.withColumns({"far_left": F.coalesce(F.lag("right").over(near) + 1, F.lit(0)), "far_right": F.coalesce(F.lead("left").over(near) - 1, F.lit(2**31 - 1))})
-    runs = runs.where("width > 1")
-    inside = (F.col("c.col") >= F.col("r.far_left")) & (F.col("c.col") <= F.col("r.far_right")) & (F.col("c.read_idx") == F.col("r.read_idx"))
-    obs = c.where("obs <> '-'").alias("c").join(runs.alias("r"), inside).select("r.*", "c.col", "c.obs")
-    spot = Window.partitionBy("read_idx", "_run").orderBy("col")
-    changed = F.coalesce((F.lag("obs").over(spot) != F.col("obs")).cast("int"), F.lit(1))
-    obs = obs.withColumn("_new", changed).withColumn("_read_run", F.sum("_new").over(spot))
-    read_runs = obs.groupBy("read_idx", "_run", "base", "left", "right", "_read_run").agg(F.first("obs").alias("obs"), F.min("col").alias("a"), F.max("col").alias("b"), F.count("*").cast("int").alias("n"))
-    hits = read_runs.where("obs = base and a <= right and b >= left").groupBy("read_idx", "_run").agg(F.max("n").alias("observed"))
-    out = runs.join(hits, ["read_idx", "_run"], "left")
-    return out.select("read_idx", "start", "width", "base", F.coalesce("observed", F.lit(0)).alias("observed"))
+
+    def of_row(a: Column, b: Column) -> Column:
+        bases = F.filter(F.transform(a, lambda x, i: F.struct(i.alias("at"), x.alias("base"))), lambda x: x["base"] != "-")
+        return S.let(bases, lambda c: F.transform(F.filter(S.runs(c, lambda x: x["base"]), lambda r: r["width"] > 1), lambda r: around(c, b, r)))
+
+    def around(c: Column, b: Column, r: Column) -> Column:
+        column = lambda k: F.get(c, k)["at"]
+        first, after = r["start"] - 1, r["start"] - 1 + r["width"]
+        left, right = column(first), column(after - 1)
+        far_left = F.when(first > 0, column(first - 1) + 1).otherwise(0)
+        far_right = F.coalesce(column(after), F.size(b)) - 1
+        text = lambda x, y: F.array_join(F.slice(b, x + 1, y - x + 1), "")
+        return F.struct(r["start"].alias("start"), r["width"].alias("width"), r["base"].alias("base"), text(far_left, left - 1).alias("pre"), text(left, right).alias("own"), text(right + 1, far_right).alias("post"))
+
+    runs = pairs.where("ref_aln is not null and read_aln is not null").select("read_idx", F.inline(_aligned(pairs, of_row)))
+    # + stands for the run's base; the read run may reach from its own columns into the gaps beside them
+    marked = {n: F.replace(F.col(n), F.col("base"), F.lit("+")) for n in ("pre", "own", "post")}
+    size = lambda x: F.char_length(F.replace(x, F.lit("-"), F.lit("")))
+    runs = runs.withColumns({
+        "_tail": size(F.regexp_extract(marked["pre"], r"[+-]*$", 0)),
+        "_head": size(F.regexp_extract(marked["post"], r"^[+-]*", 0)),
+        "_own": F.transform(F.split(marked["own"], r"[^+-]"), size),
+    })
+    tail, head, own = F.col("_tail"), F.col("_head"), F.col("_own")
+    first, last = F.element_at(own, 1), F.element_at(own, -1)
+    whole = F.when((first > 0) | ((tail > 0) & (head > 0)), tail + first + head).otherwise(0)
+    some = F.greatest(F.when(first > 0, tail + first).otherwise(0), F.when(last > 0, last + head).otherwise(0), F.array_max(own))
+    return runs.select("read_idx", "start", "width", "base", F.when(F.size(own) == 1, whole).otherwise(some).alias("observed"))
+
+
+def outside_homopolymers(profile: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows of an error profile whose position no run (``start, width``) covers."""
+    covered = runs.select(F.explode(F.sequence(F.col("start"), F.col("start") + F.col("width") - 1)).alias("pos")).distinct()
+    return profile.join(covered, "pos", "left_anti")
 
 
 def homopolymer_profile(pairs: DataFrame) -> DataFrame:

@@ -9,38 +9,45 @@ from pyspark.sql import functions as F
 
 
 def pair(a: str, b: str, opening: float, extension: float, match: float, mismatch: float, band: int) -> tuple[float, list[int]]:
-    """Global affine alignment in a band: score and moves from the start (0 both, 1 only a, 2 only b)."""
+    """Global affine alignment in a band: score and moves from the start (0 both, 1 only a, 2 only b).
+
+    Only the band's cells are worked out and stored, one byte each.
+    """
     n, m = len(a), len(b)
     band = max(band, abs(n - m) + 1)
     x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
-    low = -1e18
-    step = opening + extension
-    h = np.full((n + 1, m + 1), low)
-    h[0, 0] = 0
-    way = np.zeros((n + 1, m + 1), np.uint8)
-    h[0, 1:] = -(opening + extension * np.arange(1, m + 1))
-    way[0, 1:] = 2
-    up = np.full(m + 1, low)
-    offsets = extension * np.arange(m + 1)
+    low, step = -1e18, opening + extension
+    # rows have a cell of the band's edge at both sides; cell k of row i is column i - band - 1 + k
+    width = 2 * band + 3
+    inside = lambda i: slice(max(0, i - band) - i + band + 1, min(m, i + band) - i + band + 2)
+    h, up = np.full(width, low), np.full(width, low)
+    first = min(m, band)
+    h[band + 1 : band + 2 + first] = -(opening + extension * np.arange(first + 1))
+    h[band + 1] = 0
+    way = np.full((n + 1, width), 2, np.uint8)
+    offsets = extension * np.arange(width)
     for i in range(1, n + 1):
-        lo, hi = max(0, i - band), min(m, i + band)
-        up = np.maximum(h[i - 1] - step, up - extension)
-        gain = np.where(y == x[i - 1], match, mismatch)
-        diag = np.concatenate([[low], h[i - 1, :-1] + gain])
-        best = np.maximum(diag, up)
-        best[:lo], best[hi + 1 :] = low, low
+        s = inside(i)
+        start, stop = s.start + i - band - 1, s.stop + i - band - 1
+        above = slice(s.start + 1, s.stop + 1)
+        now, now_up = np.full(width, low), np.full(width, low)
+        now_up[s] = np.maximum(h[above] - step, up[above] - extension)
+        diag = np.full(stop - start, low)
+        skip = int(start == 0)
+        diag[skip:] = h[s.start + skip : s.stop] + np.where(y[start + skip - 1 : stop - 1] == x[i - 1], match, mismatch)
+        best = np.maximum(diag, now_up[s])
         # a gap along the row: the best start so far, with its extension taken off
-        run = np.maximum.accumulate(best - opening + offsets)
-        side = np.concatenate([[low], run[:-1] - offsets[1:]])
-        side[:lo], side[hi + 1 :] = low, low
-        way[i] = np.where((diag >= up) & (diag >= side), 0, np.where(up >= side, 1, 2))
-        h[i] = np.maximum(best, side)
+        run = np.maximum.accumulate(best - opening + offsets[: len(best)])
+        side = np.concatenate([[low], run[:-1] - offsets[1 : len(best)]])
+        way[i, s] = np.where((diag >= now_up[s]) & (diag >= side), 0, np.where(now_up[s] >= side, 1, 2))
+        now[s] = np.maximum(best, side)
+        h, up = now, now_up
     moves, i, j = [], n, m
     while i or j:
-        k = 2 if i == 0 else 1 if j == 0 else int(way[i, j])
+        k = 2 if i == 0 else 1 if j == 0 else int(way[i, j - i + band + 1])
         moves.append(k)
         i, j = i - (k != 2), j - (k != 1)
-    return float(h[n, m]), moves[::-1]
+    return float(h[m - n + band + 1]), moves[::-1]
 
 
 def kmers(s: str, k: int = 6) -> set[str]:

@@ -54,6 +54,11 @@ def tagged_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumns({"seq": F.when(flip, reverse_complement(F.col("seq"))).otherwise(F.col("seq")), "qual": F.when(flip, F.reverse("qual")).otherwise(F.col("qual"))})
 
 
+TAGGED_SQL = f"""t0 AS (SELECT read_idx, '{ADAPTOR1[:4]}' || substr(seq, 1, 4) || '{ADAPTOR1[8:]}' || seq || translate(reverse('{ADAPTOR2}'), 'ACGT', 'TGCA') AS seq,
+  substr(qual, 1, 12) || qual || substr(qual, 1, 10) AS qual FROM reads),
+tagged AS (SELECT read_idx, CASE WHEN read_idx % 3 = 0 THEN translate(reverse(seq), 'ACGT', 'TGCA') ELSE seq END AS seq, CASE WHEN read_idx % 3 = 0 THEN reverse(qual) ELSE qual END AS qual FROM t0)"""
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairwise alignments of reads to one reference: gaps of the read by key, of the reference by key as an insertion."""
     k = F.col("doc_id")
@@ -107,6 +112,14 @@ def umis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(k.alias("read_idx"), F.col("user_id").cast("string").alias("pre_group"), mutated("u1").alias("umi1"), mutated("u2").alias("umi2"))
 
 
+def _umi_sql(salt: str) -> str:
+    template = letters_sql("((event_id * 7) % 11)", salt, DNA)
+    return f"substr({template}, 1, (event_id % 10)::INT) || translate((event_id % 5)::VARCHAR, '01234', 'ACGTN') || substr(substr({template}, 1, 10), (event_id % 10 + 2)::INT, 10)"
+
+
+UMIS_SQL = f"umis AS (SELECT event_id AS read_idx, user_id::VARCHAR AS pre_group, {_umi_sql('u1')} AS umi1, {_umi_sql('u2')} AS umi2 FROM events)"
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real and fake scores per order priority."""
     o = table(spark, sf_dir, "orders")

@@ -45,7 +45,7 @@ def o01_fastq_round_trip(spark, sf_dir):
     return back.select(F.substring("read_name", 5, 20).cast("long").alias("read_idx"), "read_name", "seq", "qual")
 
 
-@query()
+@query(READS + "SELECT read_idx, read_name, seq, qual FROM reads ORDER BY md5(read_name || ':' || read_idx || ':1'), read_idx LIMIT 100")
 def o03_fastq_sample(spark, sf_dir):
     return fastq.sample_fastq(D.reads(spark, sf_dir), 100, 1)
 
@@ -136,6 +136,27 @@ def o21_phred(spark, sf_dir):
     return D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_idx"), S.phred_char(log_error).alias("phred"))
 
 
+def _scores_sql(source: str, local: bool, opening: float = 5, extension: float = 1) -> str:
+    """``best(read_idx, ref, score)`` of ``source(read_idx, ref, seq, qual)``, one read base at a time.
+
+    Lists hold a value per reference base and one before them. A gap along the
+    reference is the best of all its starts.
+    """
+    last = f"CASE WHEN j = length(ref) + 1 THEN 0.0 ELSE {{}} END" if local else "{}"
+    error = "pow(10, -(ascii(substr(qual, i + 1, 1)) - 33) / 10.0)"
+    gain = f"CASE substr(ref, (j - 1)::INT, 1) WHEN 'N' THEN 0.0 WHEN substr(seq, i + 1, 1) THEN log2(4 * (1 - {error})) ELSE log2({error} * 4 / 3) END"
+    edge = "0.0" if local else f"-({opening} + {extension} * (i + 1))"
+    places = "range(1, length(ref) + 2)"
+    return f"""dp AS (SELECT read_idx, ref, seq, qual, 0 AS i, list_transform({places}, lambda j: CASE WHEN j = 1 THEN 0.0 ELSE -({opening} + {extension} * (j - 1)) END::DOUBLE) AS h, list_transform({places}, lambda j: -1e18::DOUBLE) AS up FROM {source}
+UNION ALL SELECT read_idx, ref, seq, qual, i + 1, list_transform({places}, lambda j: list_max(list_transform(range(1, j + 1), lambda k: base[k] - CASE WHEN k = j THEN 0.0 ELSE {opening} + {extension} * (j - k) END))), gap
+FROM (SELECT *, list_transform({places}, lambda j: CASE WHEN j = 1 THEN {edge} ELSE greatest(gap[j], h[j - 1] + {gain}) END::DOUBLE) AS base
+FROM (SELECT *, list_transform({places}, lambda j: greatest(h[j] - {last.format(opening + extension)}, up[j] - {last.format(extension)})::DOUBLE) AS gap FROM dp WHERE i < length(seq)))),
+best AS (SELECT read_idx, ref, h[length(ref) + 1] AS score FROM dp WHERE i = length(seq))"""
+
+
+RECURSIVE = f"WITH RECURSIVE {D.READS_SQL}, "
+
+
 @query()
 def o28_adaptor_align_sections(spark, sf_dir):
     r = D.tagged_reads(spark, sf_dir)
@@ -143,7 +164,7 @@ def o28_adaptor_align_sections(spark, sf_dir):
     return r.withColumn("a", a).select("read_idx", F.round("a.score", 6).alias("score"), "a.start", "a.end", F.col("a.subseq.Sub1.seq").alias("sub1"))
 
 
-@query()
+@query(RECURSIVE + f"{D.TAGGED_SQL}, jobs AS (SELECT *, '{D.ADAPTOR1}' AS ref FROM tagged), {_scores_sql('jobs', True)} SELECT read_idx, round(score, 6) AS score FROM best")
 def o29_adaptor_score(spark, sf_dir):
     r = D.tagged_reads(spark, sf_dir)
     return r.select("read_idx", F.round(A.score_only(D.ADAPTOR1, F.col("seq"), F.col("qual"), PARAMS.settings), 6).alias("score"))
@@ -173,7 +194,12 @@ def o33_filter_reads(spark, sf_dir):
     return A.filter_reads(a, 10, 8, True, False).select("read_idx", "trim_start", "trim_end")
 
 
-@query()
+BARCODE_SQL = f"""jobs AS (SELECT read_idx, substr(seq, 1, 12) AS seq, substr(qual, 1, 12) AS qual, unnest({D.BARCODES}) AS ref FROM reads), {_scores_sql("jobs", False)},
+ranked AS (SELECT read_idx, list_position({D.BARCODES}, ref)::INT AS barcode, score, row_number() OVER w AS r, score - lead(score) OVER w AS gap FROM best WINDOW w AS (PARTITION BY read_idx ORDER BY score DESC, list_position({D.BARCODES}, ref)))
+SELECT read_idx, barcode, round(score, 6) AS score, round(gap, 6) AS gap FROM ranked WHERE r = 1"""
+
+
+@query(RECURSIVE + BARCODE_SQL)
 def o34_barcode_align(spark, sf_dir):
     r = D.reads(spark, sf_dir).withColumns({"seq": F.substring("seq", 1, 12), "qual": F.substring("qual", 1, 12)})
     return A.barcode_align(r, D.BARCODES).select("read_idx", "barcode", F.round("score", 6).alias("score"), F.round("gap", 6).alias("gap"))
@@ -270,7 +296,29 @@ def o46_homopolymers(spark, sf_dir):
     return E.homopolymers(D.reads(spark, sf_dir))
 
 
-@query()
+@query(ERRORS_SQL + f"""z AS (SELECT DISTINCT seen AS pos, ref FROM y WHERE ref <> '-'), t AS (SELECT ref AS base, "A", "C", "G", "T" FROM (SELECT seen, ref, count(*) FILTER (WHERE obs = 'A') AS "A", count(*) FILTER (WHERE obs = 'C') AS "C", count(*) FILTER (WHERE obs = 'G') AS "G", count(*) FILTER (WHERE obs = 'T') AS "T" FROM y WHERE ref <> '-' GROUP BY ALL) p
+ WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.ref = p.ref AND abs(z.pos - p.seen) = 1))
+SELECT base, sum("A")::BIGINT AS "A", sum("C")::BIGINT AS "C", sum("G")::BIGINT AS "G", sum("T")::BIGINT AS "T" FROM t GROUP BY 1""")
+def o62_transitions_outside_runs(spark, sf_dir):
+    """Transitions of the bases that are not in a run: those whose neighbours differ."""
+    p = E.error_profile(D.pairs(spark, sf_dir))
+    ref = spark.range(1).select(F.lit(0).alias("read_idx"), D.letters(F.lit("ref"), "", D.DNA).alias("seq"))
+    return E.transitions(E.outside_homopolymers(p, E.homopolymers(ref)))
+
+
+MATCHES_SQL = ERRORS_SQL + """n AS (SELECT read_idx, i, ref, seen, (lag(ref) OVER w IS DISTINCT FROM ref)::INT AS new FROM y WHERE ref <> '-' WINDOW w AS (PARTITION BY read_idx ORDER BY i)),
+m AS (SELECT *, sum(new) OVER (PARTITION BY read_idx ORDER BY i) AS run FROM n),
+r AS (SELECT read_idx, run, min(i) AS a, max(i) AS b, min(seen)::INT AS start, count(*)::INT AS width, any_value(ref) AS base FROM m GROUP BY ALL),
+q AS (SELECT *, coalesce(lag(b) OVER w, 0) AS after, coalesce(lead(a) OVER w, 1000) AS before FROM r WINDOW w AS (PARTITION BY read_idx ORDER BY run)),
+o AS (SELECT q.*, y.i, y.obs, (lag(obs) OVER w IS DISTINCT FROM obs)::INT AS new FROM q JOIN y ON q.read_idx = y.read_idx AND y.i > after AND y.i < before AND obs <> '-' WHERE width > 1 WINDOW w AS (PARTITION BY q.read_idx, run ORDER BY y.i)),
+u AS (SELECT *, sum(new) OVER (PARTITION BY read_idx, run ORDER BY i) AS part FROM o),
+v AS (SELECT read_idx, run, part, count(*) AS n FROM u GROUP BY read_idx, run, part HAVING any_value(obs) = any_value(base) AND min(i) <= any_value(b) AND max(i) >= any_value(a)),
+l AS (SELECT q.start, q.width, q.base, coalesce(max(n), 0) AS observed FROM q LEFT JOIN v USING (read_idx, run) WHERE width > 1 GROUP BY q.read_idx, run, q.start, q.width, q.base),
+c AS (SELECT start, width, base, observed, count(*) AS freq FROM l GROUP BY ALL)
+SELECT start, width, base, string_agg(observed || ':' || freq, ',' ORDER BY observed) AS observed FROM c GROUP BY ALL"""
+
+
+@query(MATCHES_SQL)
 def o47_homopolymer_matches(spark, sf_dir):
     p = E.homopolymer_profile(D.pairs(spark, sf_dir))
     return p.select("start", "width", "base", F.array_join(F.transform("observed", lambda x: F.concat_ws(":", x["len"], x["freq"])), ",").alias("observed"))
@@ -281,7 +329,29 @@ def o48_umi_group(spark, sf_dir):
     return U.umi_group(D.umis(spark, sf_dir), 2)
 
 
-@query()
+def _masked_sql(source: str) -> str:
+    """``masked(a, b, dist)`` of ``source(a, b)``: edit distances in which a pairing with N costs one half."""
+    places = "range(1, length(b) + 2)"
+    cost = "CASE WHEN 'N' IN (substr(a, i + 1, 1), substr(b, (j - 1)::INT, 1)) THEN 0.5 WHEN substr(a, i + 1, 1) = substr(b, (j - 1)::INT, 1) THEN 0.0 ELSE 1.0 END"
+    return f"""ed AS (SELECT a, b, 0 AS i, list_transform({places}, lambda j: (j - 1)::DOUBLE) AS h FROM {source}
+UNION ALL SELECT a, b, i + 1, list_transform({places}, lambda j: list_min(list_transform(range(1, j + 1), lambda k: step[k] + j - k)))
+FROM (SELECT *, list_transform({places}, lambda j: CASE WHEN j = 1 THEN h[1] + 1 ELSE least(h[j] + 1, h[j - 1] + {cost}) END::DOUBLE) AS step FROM ed WHERE i < length(a))),
+masked AS (SELECT a, b, h[length(b) + 1] AS dist FROM ed WHERE i = length(a))"""
+
+
+@query(f"WITH RECURSIVE {D.UMIS_SQL}, jobs AS (SELECT DISTINCT umi1 AS a, umi2 AS b FROM umis), {_masked_sql('jobs')} SELECT read_idx, dist FROM umis JOIN masked ON umi1 = a AND umi2 = b")
+def o49_masked_distance(spark, sf_dir):
+    return D.umis(spark, sf_dir).select("read_idx", U.distance(F.col("umi1"), F.col("umi2")).alias("dist"))
+
+
+NEIGHBOURS_SQL = f"""WITH RECURSIVE {D.UMIS_SQL}, texts AS (SELECT pre_group, umi1, count(*) AS n FROM umis GROUP BY ALL),
+met AS (SELECT pre_group, x.umi1 AS a, y.umi1 AS b, y.n FROM texts x JOIN texts y USING (pre_group)),
+jobs AS (SELECT DISTINCT a, b FROM met WHERE contains(a || b, 'N')), {_masked_sql("jobs")},
+near AS (SELECT pre_group, met.a, sum(n) AS near FROM met LEFT JOIN masked ON met.a = masked.a AND met.b = masked.b WHERE coalesce(dist, levenshtein(met.a, met.b)) <= 1 GROUP BY ALL)
+SELECT read_idx, near::BIGINT AS near FROM umis JOIN near ON umis.pre_group = near.pre_group AND umi1 = a"""
+
+
+@query(NEIGHBOURS_SQL)
 def o50_umi_neighbours(spark, sf_dir):
     return U.neighbours(D.umis(spark, sf_dir), 1).groupBy("a").agg(F.count("*").alias("near")).withColumnRenamed("a", "read_idx")
 

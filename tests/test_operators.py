@@ -265,3 +265,89 @@ def test_sources(spark, tmp_path):
     assert sorted((r.qname, r.start, r.width, r.strand, r.left_clip) for r in got) == [("r1", 3, 4, "-", 2), ("r4", 5, 5, "+", 0)]
     assert sam.sam_ranges(spark, str(tmp_path / "x.sam"), drop_first=True).count() == 1
     assert {r.rname: r.length for r in sam.sam_header(spark.read.text(str(tmp_path / "x.sam"))).collect()} == {"c1": 50, "*": 0}
+
+
+def test_fastq_in_many_splits(spark, tmp_path):
+    r = random.Random(9)
+    rows = {}
+    for name in ("b.fq", "a.fq"):
+        reads = [("@" * r.randint(0, 3) + f"{name}{i}", "".join(r.choices("ACGT", k=n)), "@" * n) for i, n in enumerate(r.choices(range(0, 30), k=300))]
+        (tmp_path / name).write_text("".join(f"@{a}\n{b}\n+\n{c}\n" for a, b, c in reads))
+        rows[name] = reads
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = [(x.read_name, x.seq, x.qual) for x in fastq.read_fastq(spark, str(tmp_path)).orderBy("read_idx").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == rows["a.fq"] + rows["b.fq"]
+
+
+def test_mock_reads_with_barcodes(spark):
+    got = fastq.mock_reads(spark, 4, 6, 30, "ACNNGGGGTT", "", 0, barcodes=["AAAA", "CCCC"], barcode_position=(5, 8)).collect()
+    tables = str.maketrans("ACGT", "TGCA")
+    fronts = {}
+    for x in got:
+        both = (x.seq, x.seq.translate(tables)[::-1])
+        fronts.setdefault(x.read_idx // 6, set()).update(s[:10] for s in both if re.match("AC..(AAAA|CCCC)TT", s))
+    assert len(fronts) == 4 and all(len(f) == 1 for f in fronts.values())
+    with pytest.raises(ValueError):
+        fastq.mock_reads(spark, barcodes=["AAA"], barcode_position=(5, 8))
+
+
+def test_running_sums_over_ranges(spark):
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), r.random() < 0.3, float(r.randrange(40))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "part string, fake boolean, score double")
+    got = {x.part: (x.threshold, x.overlap) for x in T.fdr_threshold(df, 0.2, ["part"]).join(T.tied_overlap(df, ["part"]).withColumnRenamed("part", "q"), F.expr("part <=> q")).collect()}
+    for part in ("a", "b", None):
+        real, fake = ([s for p, f, s in rows if p == part and f == kind] for kind in (False, True))
+        share = lambda s: sum(f > s for f in fake) / (sum(x >= s for x in real) - 1)  # noqa: B023, E731
+        fit = [s for s in real if sum(x >= s for x in real) > 1 and share(s) <= 0.2]
+        won = sum((f < s) + (f == s) / 2 for s in real for f in fake) / (len(real) * len(fake))
+        assert got[part][0] == min(fit) and math.isclose(got[part][1], won)
+    for n in (1, 2, 7, 100):
+        values = sorted(r.choices(range(30), k=n))
+        one_row = T.exact_median(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double"), F.col("v"), "m").first()
+        assert one_row.m == (values[(n - 1) // 2] + values[n // 2]) / 2
+    assert T.exact_median(spark.createDataFrame([], "v double"), F.col("v"), "m").first().m is None
+
+
+def test_thresholds_of_aligned_reads_and_tuned_scores(spark):
+    reads = fastq.mock_reads(spark, 3, 5, 40, "ACGTNNACGGT", "GGTTCCAAT", 0.02, 1).cache()
+    p = A.AlignParams("ACGTNNACGGT", "GGTTCCAAT", tolerance=30)
+    rounded = lambda df: sorted((x.adaptor, x.fake, round(x.score, 6)) for x in df.collect())
+    aligned = A.adaptor_align(reads, p)
+    assert rounded(T.adaptor_scores(reads, p)) == rounded(T.adaptor_scores(reads, p, aligned=aligned))
+    with pytest.raises(Exception):
+        T.adaptor_scores(reads, p, aligned=aligned.where("read_idx > 3")).collect()
+    best, scores = A.tuned(reads, p, range(4, 6), range(1, 3))
+    best = best.first()
+    assert scores.where("fake").count() == scores.where("not fake").count() == 15
+    assert math.isclose(T.tied_overlap(scores).first()[0], best.overlap)
+
+
+def test_long_reads(spark):
+    """No step takes the square of the length."""
+    r = random.Random(7)
+    a = "".join(r.choices("ACGT", k=20_000))
+    b = a[:7000] + a[7040:12_000] + "ACGTA" + a[12_000:]
+    score, moves = M.pair(a, b, 5, 1, 0, -1, 100)
+    assert len(moves) == 20_005 and score >= -(5 + 40) - (5 + 5)
+    df = spark.createDataFrame([(0, a * 5, "I" * 100_000)], "read_idx long, seq string, qual string")
+    masked = df.withColumn("aligned", F.concat(F.lit("--"), F.regexp_replace("seq", "A", "N")))
+    assert masked.select(S.unmask(F.col("aligned"), F.col("seq"))).first()[0] == "--" + a * 5
+    mixed = A.scrambled(df, 1).first()
+    assert sorted(mixed.seq) == sorted(a * 5) and mixed.seq != a * 5
+    runs = E.homopolymers(df).collect()
+    assert [(x.start - 1, x.width) for x in runs] == [(m.start(), len(m[0])) for m in re.finditer(r"(.)\1+", a * 5)]
+
+
+def test_bases_outside_homopolymers(spark):
+    pairs = spark.createDataFrame([(0, "ACCG-T", "ACTGAT"), (1, None, "A")], "read_idx long, ref_aln string, read_aln string")
+    runs = E.homopolymers(spark.createDataFrame([(0, "ACCGT")], "read_idx long, seq string"))
+    left = E.outside_homopolymers(E.error_profile(pairs), runs)
+    assert sorted(x.pos for x in left.collect()) == [1, 4, 5, 6]
+    assert {x.base: x["T"] for x in E.transitions(left).collect()} == {"A": 0, "G": 0, "T": 1}
+    nothing = pairs.limit(0)
+    assert E.error_profile(nothing).count() == E.match_homopolymers(nothing).count() == 0
