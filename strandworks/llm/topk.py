@@ -98,10 +98,13 @@ def top_k(
     ties to the smaller vec_id.
 
     Candidates are grouped by length into geometric buckets, each cut into
-    blocks of about BLOCK_ROWS; queries are cut into blocks of QUERY_ROWS. A
-    bounded seed of the longest vectors gives every query a floor under its
-    k-th score. Each pair of blocks is one task (:func:`search_block`); each
-    yields at most k rows a query, and the last step ranks those.
+    blocks of about BLOCK_ROWS. A bounded seed of the longest vectors gives
+    every query a floor under its k-th score, and so a length below which no
+    candidate can matter: blocks of about QUERY_ROWS queries are filled in the
+    order of that length. Query blocks and buckets meet only where the bucket
+    is long enough, which is known before any vector is copied. Each pair of blocks is one task
+    (:func:`search_block`); each yields at most k rows a query, and the last
+    step ranks those.
 
     Defined cases: rows with a null id, or a null vector or one with null or
     non-finite components, take no part; vectors of another dimension than a
@@ -130,16 +133,26 @@ def top_k(
                         low[i] = np.partition(s, len(s) - k)[len(s) - k]
             yield pdf.assign(_sw_floor=low)
 
-    queries_in = base.where(F.col("_sw_id") % every == 0).select("_sw_id", "_sw_v", "_sw_dim")
-    queries = queries_in.mapInPandas(floors, "_sw_id long, _sw_v array<double>, _sw_dim int, _sw_floor double")
-    sizes = base.groupBy("_sw_dim", "_sw_bucket").count()
-    sizes = cut(sizes.withColumn("_sw_blocks", F.ceil(F.col("count") / BLOCK_ROWS).cast("int")))
-    q_blocks = max(1, -(-queries_in.count() // QUERY_ROWS))
-    cand = base.join(sizes, ["_sw_dim", "_sw_bucket"])
-    cand = cand.withColumn("_sw_block", F.pmod(F.xxhash64("_sw_id", "_sw_v"), "_sw_blocks").cast("int"))
-    cand = cand.select("_sw_id", "_sw_v", "_sw_dim", "_sw_bucket", "_sw_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_sw_q"))
-    grid = sizes.select("_sw_dim", "_sw_bucket", F.explode(F.sequence(F.lit(0), F.col("_sw_blocks") - 1)).alias("_sw_block"))
-    queries = queries.withColumn("_sw_q", F.pmod(F.xxhash64("_sw_id", F.lit(1)), F.lit(q_blocks)).cast("int")).join(grid, "_sw_dim")
+    queries_in = base.where(F.col("_sw_id") % every == 0).select("_sw_id", "_sw_v", "_sw_dim", "_sw_n2")
+    queries = queries_in.mapInPandas(floors, "_sw_id long, _sw_v array<double>, _sw_dim int, _sw_n2 double, _sw_floor double")
+    # the square of the least length that matters, a little lower for rounding
+    least = F.col("_sw_floor") * F.col("_sw_floor") / F.col("_sw_n2") * (1 - 1e-6)
+    queries = cut(queries.withColumn("_sw_from", F.when((F.col("_sw_floor") > 0) & (F.col("_sw_n2") > 0), norm_bucket(least)).otherwise(-1)))
+
+    # query blocks are filled in the order of that length, so that few of them reach down to short vectors
+    by_length = Window.partitionBy("_sw_dim").orderBy("_sw_from").rowsBetween(Window.unboundedPreceding, -1)
+    groups = queries.groupBy("_sw_dim", "_sw_from").agg(F.count("*").alias("_sw_n"))
+    groups = groups.withColumn("_sw_before", F.coalesce(F.sum("_sw_n").over(by_length), F.lit(0)))  # a row per bucket
+    place = F.col("_sw_before") + F.pmod(F.xxhash64("_sw_id", "_sw_v"), F.col("_sw_n"))
+    queries = queries.drop("_sw_n2").join(groups, ["_sw_dim", "_sw_from"]).withColumn("_sw_q", F.floor(place / QUERY_ROWS)).drop("_sw_n", "_sw_before")
+    reach = queries.groupBy("_sw_dim", "_sw_q").agg(F.min("_sw_from").alias("_sw_from"))
+    sizes = base.groupBy("_sw_dim", "_sw_bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_sw_blocks"))
+    # a row per bucket and block of queries
+    meet = cut(sizes.join(reach, "_sw_dim").where("_sw_bucket >= _sw_from").drop("_sw_from"))
+    cand = base.select("_sw_id", "_sw_v", "_sw_dim", "_sw_bucket").join(meet, ["_sw_dim", "_sw_bucket"])
+    cand = cand.withColumn("_sw_block", F.pmod(F.xxhash64("_sw_id", "_sw_v"), "_sw_blocks").cast("int")).drop("_sw_blocks")
+    queries = queries.drop("_sw_from").join(meet, ["_sw_dim", "_sw_q"])
+    queries = queries.withColumn("_sw_block", F.explode(F.sequence(F.lit(0), F.col("_sw_blocks") - 1))).drop("_sw_blocks")
     key = ["_sw_dim", "_sw_bucket", "_sw_block", "_sw_q"]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

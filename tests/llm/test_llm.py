@@ -270,8 +270,11 @@ def test_secret_scan(spark, docs, rows):
     assert secret_scan.secret_scan(docs.limit(0), plain).count() == 0
 
 
-def test_top_k(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [(4096, 2048), (20, 3)])
+def test_top_k(spark, monkeypatch, rows):
     monkeypatch.setattr(topk, "SEED_ROWS", 40)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", rows[0])
+    monkeypatch.setattr(topk, "QUERY_ROWS", rows[1])
     r = np.random.default_rng(3)
     centres = r.standard_normal((6, 8))
     v = centres[r.integers(0, 6, 300)] + 0.15 * r.standard_normal((300, 8))
@@ -290,6 +293,11 @@ def test_top_k(spark, monkeypatch):
     assert got == want
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id in (0, 1, 2)"), 5, 20).count() == 2
+    clash = df.selectExpr("*", "1 AS rank", "'x' AS score", "2 AS query_id", "3 AS _sw_q").where("vec_id in (0, 1, 2)")
+    odd = spark.createDataFrame([(40, [1.0, 2.0]), (41, [1.0, 2.0]), (40, [3.0, 1.0])], "vec_id long, embedding array<float>")
+    both = topk.top_k(clash.select("vec_id", "embedding").union(odd), 5, 20)
+    assert sorted((x.query_id, x.vec_id) for x in both.collect() if x.query_id == 40) == [(40, 41), (40, 41)]
+    assert topk.top_k(clash, 5, 20).columns == ["query_id", "rank", "vec_id", "score"]
 
 
 def test_block_search_prunes_nothing_wanted():
