@@ -5,11 +5,15 @@ from __future__ import annotations
 import functools
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandworks.functions import sequences as S
 from strandworks.operators.components import components
@@ -179,8 +183,95 @@ def umi_group(reads: DataFrame, threshold1: float = 3, threshold2: float | None
     return grouped.unionByName(df.where(beyond).select(F.col("read_idx").alias("cluster_id"), "read_idx"))
 
 
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, one row of equal width for each, and the texts' lengths."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.array(texts, f"U{max(size.max(initial=0), 1)}").view(np.uint32).reshape(len(texts), -1), size
+
+
+def distance_tiles(a: list[str], b: list[str], room: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Masked edit distances of every text of ``a`` with every one of ``b``: tiles with the places of their first texts.
+
+    The table of all pairs of a tile goes a cell at a time, in half units of the
+    smallest type that holds them; a row of it fills about ``room`` bytes.
+    """
+    (x, la), (y, lb) = _letters(a), _letters(b)
+    seen, code = np.unique(np.concatenate([x.ravel(), y.ravel()]), return_inverse=True)
+    x, y = code[: x.size].reshape(x.shape), code[x.size :].reshape(y.shape)
+    most = 2 * int(max(la.max(initial=0), lb.max(initial=0))) + 2
+    kind = np.min_scalar_type(most)
+    cost = np.where(np.eye(len(seen), dtype=bool), 0, 2).astype(kind)
+    cost[seen == ord("N")] = cost[:, seen == ord("N")] = 1
+    wide = max(1, room // (kind.itemsize * (int(lb.max(initial=0)) + 1)))
+    for q in range(0, len(b), wide):
+        n = lb[q : q + wide]
+        costs = [cost[:, letter] for letter in y[q : q + wide, : n.max()].T]
+        high = max(1, wide // len(n))
+        for p in range(0, len(a), high):
+            m = la[p : p + high]
+            out = np.empty((len(m), len(n)), kind)
+            row = [np.full(out.shape, 2 * j, kind) for j in range(n.max() + 1)]
+            step = np.empty_like(out)
+            for i in range(m.max() + 1):
+                if i:
+                    letter, before = x[p : p + high, i - 1], row[0].copy()
+                    row[0] += kind.type(2)
+                    for j, c in enumerate(costs, 1):
+                        np.take(c, letter, axis=0, out=step, mode="clip")
+                        step += before
+                        before, row[j] = row[j], before
+                        np.minimum(before, row[j - 1], out=row[j])
+                        row[j] += kind.type(2)
+                        np.minimum(row[j], step, out=row[j])
+                if (ended := np.flatnonzero(m == i)).size:
+                    for j in np.unique(n):
+                        at = np.ix_(ended, np.flatnonzero(n == j))
+                        out[at] = row[j][at]
+            yield p, q, out
+
+
+#: Rows of a block of texts, and pairs of blocks that one task takes.
+BLOCK, BLOCK_PAIRS = 1024, 4
+
+
+def _block_pairs(kind: pa.DataType):
+    """For mapInArrow over (whether a block meets itself, its ids and texts, the other's ids and texts): ``i, j, dist``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                same = batch.column(0)[k].as_py()
+                ids, other = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (1, 3))
+                a, b = (batch.column(c)[k].values.to_pylist() for c in (2, 4))
+                if same:
+                    b, other = a, ids
+                lost, lost_b = (np.array([t is None for t in side], bool) for side in (a, b))
+                for p, q, half in distance_tiles([t or "" for t in a], [t or "" for t in b]):
+                    i, j = ids[p : p + len(half), None], other[None, q : q + half.shape[1]]
+                    wanted = i != j
+                    if same:
+                        wanted &= np.arange(p, p + half.shape[0])[:, None] < np.arange(q, q + half.shape[1])
+                    none = lost[p : p + half.shape[0], None] | lost_b[q : q + half.shape[1]]
+                    pick = (lambda z: z.ravel()) if wanted.all() else (lambda z, w=wanted: z[w])
+                    dist = pa.array(pick(half / 2), mask=pick(none) if none.any() else None)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(pick(f(i, j)), kind) for f in (np.minimum, np.maximum)), dist], ["i", "j", "dist"])
+
+    return run
+
+
 def expected_distances(seqs: DataFrame, max_error: float | None = None, kind: str = "phred") -> DataFrame:
-    """Masked edit distances of all pairs ``i < j`` of a small set (quadratic by definition): ``i, j, dist``."""
+    """Masked edit distances of all pairs ``i < j`` of a small set (quadratic by definition): ``i, j, dist``.
+
+    Rows are dealt to blocks, and every pair of blocks is worked out at once
+    in numpy, spread over the cluster. A row whose ``read_idx`` is null has no
+    pairs; the distance from a null sequence is null.
+    """
     df = seqs if max_error is None else seqs.withColumn("seq", S.quality_mask(F.col("seq"), F.col("qual"), max_error, kind))
-    a, b = df.select(F.col("read_idx").alias("i"), F.col("seq").alias("x")), df.select(F.col("read_idx").alias("j"), F.col("seq").alias("y"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", distance(F.col("x"), F.col("y")).alias("dist"))
+    df = cut(df.where("read_idx is not null").select("read_idx", "seq", F.monotonically_increasing_id().alias("_row")))
+    n = max(1, math.ceil(df.count() / BLOCK))
+    blocks = df.groupBy((F.col("_row") % n).alias("at")).agg(F.collect_list(F.struct("read_idx", "seq")).alias("r"))
+    side = lambda s: blocks.select(F.col("at").alias(f"at_{s}"), F.col("r.read_idx").alias(f"id_{s}"), F.col("r.seq").alias(f"seq_{s}"))
+    met = side("a").join(side("b"), F.col("at_a") <= F.col("at_b"))
+    met = met.select((F.col("at_a") == F.col("at_b")).alias("same"), "id_a", "seq_a", "id_b", "seq_b").repartition(math.ceil(n * (n + 1) / 2 / BLOCK_PAIRS))
+    idx = df.schema["read_idx"].dataType
+    return met.mapInArrow(_block_pairs(to_arrow_type(idx)), StructType([StructField("i", idx), StructField("j", idx), StructField("dist", DoubleType())]))

@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,30 @@ def test_masked_distances_of_many_pairs():
     assert U.masked_distances(a, b).tolist() == [plain(x, y) for x, y in zip(a, b, strict=True)]
 
 
+def test_tiles_of_distances():
+    r = random.Random(5)
+    for letters, longest, room in (("ACGTN", 9, 1 << 21), ("ACGTN", 9, 100), ("ACGé😀", 150, 1 << 12), ("N", 0, 1)):
+        a, b = (["".join(r.choices(letters, k=r.randint(0, longest))) for _ in range(n)] for n in (21, 17))
+        got = {(p + k, q + m): d / 2 for p, q, tile in U.distance_tiles(a, b, room) for (k, m), d in np.ndenumerate(tile)}
+        assert got == {(k, m): U.masked_distance(x, y) for k, x in enumerate(a) for m, y in enumerate(b)}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_expected_distances_in_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(U, "BLOCK", 8, raising=False)
+    r = random.Random(6)
+    as_id = int if kind == "long" else "r{}".format
+    rows = [(as_id(k), "".join(r.choices("ACGTN", k=r.randint(0, 9)))) for k in range(45)]
+    # repeated ids have no pair with each other, a null id has none at all, a null text no distance
+    rows += [(as_id(3), "ACG"), (as_id(3), "ACG"), (None, "ACG"), (as_id(50), None)]
+    df = spark.createDataFrame(rows, f"read_idx {kind}, seq string").coalesce(1)
+    out = U.expected_distances(df)
+    assert out.rdd.getNumPartitions() > 1
+    want = [(i, j, None if None in (x, y) else U.masked_distance(x, y)) for i, x in rows for j, y in rows if None not in (i, j) and i < j]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert U.expected_distances(df.limit(0)).count() == U.expected_distances(df.limit(1)).count() == 0
+
+
 def test_components_by_rounds_and_in_one_task(spark):
     r = random.Random(8)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(7, 7)]
